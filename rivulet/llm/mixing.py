@@ -57,21 +57,35 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return d.select("source", "source_size", "rank", "target")
 
 
-def _hypergeometric(total, good, drawn, u) -> F.Column:
-    """The number of good ones among drawn of total, as the u-quantile: the probabilities are summed over 14 deviations."""
-    low0, high0 = F.greatest(F.lit(0).cast("long"), drawn - total + good), F.least(good, drawn)
-    mean = drawn * good / F.greatest(total, F.lit(1).cast("long"))
-    spread = F.sqrt(F.greatest(mean * (1 - good / F.greatest(total, F.lit(1).cast("long"))), F.lit(0.0))) * 14 + 14
-    low = F.greatest(low0, F.floor(mean - spread).cast("long"))
-    high = F.least(high0, F.ceil(mean + spread).cast("long"))
-    ratio = lambda k: (good - k) * (drawn - k) / ((k + 1) * (total - good - drawn + k + 1))
-    steps = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
-    one, none = F.lit(1.0), F.lit(0).cast("long")
-    grow = lambda a, k: (a.p * ratio(k)).alias("p")
-    whole = F.aggregate(steps, F.struct(one.alias("p"), one.alias("s")), lambda a, k: F.struct(grow(a, k), (a.s + a.p * ratio(k)).alias("s")), lambda a: a.s)
-    start = F.struct(one.alias("p"), one.alias("s"), (u * whole).alias("goal"), none.alias("passed"))
-    more = F.aggregate(steps, start, lambda a, k: F.struct(grow(a, k), (a.s + a.p * ratio(k)).alias("s"), a.goal.alias("goal"), (a.passed + F.when(a.s < a.goal, 1).otherwise(0)).cast("long").alias("passed")), lambda a: a.passed)
-    return low + more
+#: The q-quantile (0 <= q < 1) of the number of good ones among drawn of total, where x has these four. The
+#: probabilities, as multiples of the first, are summed within 9 deviations of the mean, beyond which no double shows
+#: them. Each let() binds what is used more than once.
+_QUANTILE = """
+let(named_struct('x', {x}, 'mean', {x}.drawn * {x}.good / greatest({x}.total, 1L)), m ->
+let(named_struct('x', m.x, 'mean', m.mean, 'far', 9 + 9 * sqrt(greatest(m.mean * (1 - m.x.good / greatest(m.x.total, 1L)), 0))), f ->
+let(named_struct('good', f.x.good, 'drawn', f.x.drawn, 'bad', f.x.total - f.x.good - f.x.drawn, 'q', f.x.q,
+    'low', greatest(0L, f.x.drawn - f.x.total + f.x.good, bigint(floor(f.mean - f.far))),
+    'high', least(f.x.good, f.x.drawn, bigint(ceil(f.mean + f.far)))), r ->
+let(named_struct('r', r, 'steps', if(r.high > r.low, sequence(r.low, r.high - 1), cast(array() as array<bigint>))), s ->
+let(named_struct('r', s.r, 'steps', s.steps, 'goal', s.r.q * aggregate(s.steps, named_struct('p', 1D, 's', 1D), (a, k) ->
+    let(named_struct('s', a.s, 'p', a.p * ((s.r.good - k) * (s.r.drawn - k) / ((k + 1) * (s.r.bad + k + 1)))), n -> named_struct('p', n.p, 's', n.s + n.p)), a -> a.s)), g ->
+g.r.low + aggregate(g.steps, named_struct('p', 1D, 's', 1D, 'passed', 0L), (a, k) ->
+    let(named_struct('s', a.s, 'p', a.p * ((g.r.good - k) * (g.r.drawn - k) / ((k + 1) * (g.r.bad + k + 1))), 'passed', a.passed + if(a.s < g.goal, 1L, 0L)), n -> named_struct('p', n.p, 's', n.s + n.p, 'passed', n.passed)), a -> a.passed))))))
+"""
+
+
+def _let(sql: str) -> str:
+    """SQL in which each let(value, name -> body) is a transform of a one-element array."""
+    out, at = sql, 0
+    while (at := out.find("let(", at)) >= 0:
+        depth, comma, i = 1, -1, at + 4
+        while depth:
+            depth += (out[i] == "(") - (out[i] == ")")
+            if depth == 1 and out[i] == "," and comma < 0:
+                comma = i
+            i += 1
+        out = f"{out[:at]}get(transform(array({out[at + 4 : comma]}), {out[comma + 1 : i - 1]}), 0){out[i:]}"
+    return out
 
 
 def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -85,15 +99,12 @@ def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("rank", "quota"))).alias("v")).select(F.lit(1).cast("long").alias("node"), F.transform("v", lambda x: x.quota).alias("v"))
     while shards > 1:
         shards //= 2
-        total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
-        start = F.struct(total.alias("total"), F.floor(total / 2).cast("long").alias("drawn"), F.array().cast("array<bigint>").alias("left"))
-
-        def step(a, x):
-            u = _hex(F.md5(F.concat_ws("|", F.lit(f"split {seed}"), F.col("node").cast("string"), F.size(a.left).cast("string")).cast("binary")), 12) / float(16**12)
-            got = F.struct((a.total - x).alias("total"), a.drawn.alias("drawn"), a.left.alias("left"), _hypergeometric(a.total, x, a.drawn, u).alias("got"))
-            return F.get(F.transform(F.array(got), lambda g: F.struct(g.total.alias("total"), (g.drawn - g.got).alias("drawn"), F.concat(g.left, F.array(g.got)).alias("left"))), F.lit(0))
-
-        nodes = nodes.withColumn("l", F.aggregate("v", start, step, lambda a: a.left))
+        uniform = f"cast(conv(substring(md5(binary(concat_ws('|', 'split {seed}', string(node), string(size(a.left))))), 1, 12), 16, 10) as double) / {16**12}D"
+        drawn = _QUANTILE.replace("{x}", "y")
+        fold = f"""aggregate(v, let(aggregate(v, 0L, (t, y) -> t + y), t -> named_struct('total', t, 'drawn', bigint(floor(t / 2)), 'left', cast(array() as array<bigint>))), (a, x) ->
+            let(named_struct('a', a, 'x', x, 'got', let(named_struct('total', a.total, 'good', x, 'drawn', a.drawn, 'q', {uniform}), y -> {drawn})), z ->
+                named_struct('total', z.a.total - z.x, 'drawn', z.a.drawn - z.got, 'left', concat(z.a.left, array(z.got)))), a -> a.left)"""
+        nodes = nodes.withColumn("l", F.expr(_let(fold)))
         sides = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("v")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("v", "l", lambda a, b: a - b).alias("v")))
         nodes = nodes.select(F.explode(sides).alias("x")).select("x.node", "x.v")
     each = nodes.select("node", F.posexplode("v").alias("at", "n"))
