@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: n-grams in a profile.
 PROFILE = 400
@@ -91,11 +92,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return out
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_id", text: str = "text", size: int = PROFILE) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_id", text: str = "text", size: int = PROFILE, extra: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred and score (1 less the distance as a share of the greatest possible) of every row.
 
-    A null text, one without a letter, and any text where no profile was learned give `und` and 0.
+    A null text, one without a letter, and any text where no profile was learned give `und` and 0. extra names columns
+    of docs that go along unchanged; other columns don't.
     """
+    extra = [x for x in extra or [] if x != doc_id]
     langs = sorted(profiles)
     known = np.unique(np.concatenate([np.array(profiles[x], np.uint64) for x in langs])) if langs else np.zeros(0, np.uint64)
     ranks = np.full((len(known) + 1, max(1, len(langs))), -1, np.int32)  # the last row: an n-gram that no language has
@@ -116,10 +119,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+            found = [one(t.as_py()) for t in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *map(b.column, extra)], ["doc_id", "lang_pred", "score", *extra])
+
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), *extra)
+    schema = T._parse_datatype_string(SCHEMA)
+    for x in extra:
+        schema = schema.add(d.schema[x])
+    return d.mapInArrow(run, schema)
 
 
 def held_out(doc_id) -> F.Column:

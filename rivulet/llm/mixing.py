@@ -145,6 +145,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
+def shuffled(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", shards: int = SHARDS, seed: int = 1, **how) -> DataFrame:
+    """The mix itself: all columns of docs and shard, a row for each time that a document is taken.
+
+    A shard is written by one task and ordered by a hash of the documents' ids and passes. Documents are matched with
+    what mix() says of them by id and source; rows that repeat both are taken as often as the one that is taken most.
+    """
+    d = mix(docs, doc_id, source, text, shards=shards, seed=seed, **how).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max_by("shards", F.size("shards")).alias("_shards"))
+    d = docs.join(d, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")))
+    d = d.select(*docs.columns, F.posexplode("_shards").alias("_pass", "shard"))
+    return d.repartition(shards, "shard").sortWithinPartitions("shard", _mark(F.lit(f"order {seed}"), F.col(doc_id), F.col("_pass"))).drop("_pass")
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     from rivulet.llm.common import table

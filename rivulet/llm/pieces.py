@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.llm.common import checkpoint
 
@@ -238,18 +239,25 @@ def _table(docs: DataFrame, path: str, text: str):
     return spark.sparkContext.broadcast(frequent_words(docs, load(path), text))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All rows and columns of docs, and ids (array<int>); a null text has no ids."""
+def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False) -> DataFrame:
+    """All rows and columns of docs, and ids (array<int>); a null text has no ids.
+
+    check adds exact: whether decoding gives the text back (for a null text, the empty one).
+    """
     table = _table(docs, path, text)
-    schema = docs.schema.add("ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if check:
+        schema = schema.add("exact", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, table.value)
         for b in batches:
-            ids = [enc(t or "") for t in b.column(text).to_pylist()]
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            ids = list(map(enc, texts))
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "ids"])
+            exact = [pa.array([load(path).decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())] if check else []
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, *exact], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -262,7 +270,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([model.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())], [*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

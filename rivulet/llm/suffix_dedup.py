@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.llm.common import shuffle_partitions, utf8_parts, whole_groups
 
@@ -151,15 +152,15 @@ def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int,
     return h[at[first]].view(np.int64), first, last
 
 
-def _texts(t: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (null: the smallest), bytes, starts and ends of a shard's rows in the order of id and text; the order is one for every pass."""
+def _texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (null: the smallest), bytes, starts and ends of a shard's rows in the order of id and text, which is one for every pass, and that order."""
     data, off = utf8_parts(t.column("text"))
     ids = t.column("doc_id").combine_chunks().fill_null(-(1 << 63)).to_numpy()
     order = np.argsort(ids, kind="stable")
     same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
     if len(same):
         order = np.array(sorted(order.tolist(), key=lambda i: (ids[i], data[off[i] : off[i + 1]].tobytes())), np.int64)
-    return ids[order], data, off[:-1][order], off[1:][order]
+    return ids[order], data, off[:-1][order], off[1:][order], order
 
 
 def _pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[range]:
@@ -175,7 +176,7 @@ def _pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[range]:
 
 def _found(t: pa.Table, width: int, gram: int) -> Iterator[tuple]:
     """For each piece of a shard: ids, row numbers, joined bytes, starts of the rows, and the anchors in it."""
-    ids, data, starts, ends = _texts(t)
+    ids, data, starts, ends, _ = _texts(t)
     for rows in _pieces(starts, ends):
         joined = np.concatenate([data[starts[i] : ends[i]] for i in rows])
         stop = np.cumsum([ends[i] - starts[i] for i in rows])
@@ -207,7 +208,7 @@ _CONTEXTS = f"key long, doc long, {_INTERVALS}, ctx binary"
 
 
 def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """shard, row, s and e: intervals to remove from the rows of docs (doc_id, text, shard), in the order of _texts."""
+    """shard, row, s and e: intervals to remove from the rows of docs (doc_id, text, shard and more), in the order of _texts."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
 
@@ -290,43 +291,65 @@ def _union(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[head], reach[np.append(np.flatnonzero(head)[1:] - 1, len(s) - 1)]
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay; null unless keep_text) of every row.
-
-    Each byte goes that a string of width bytes covers which also starts earlier: in a smaller doc_id or earlier in the
-    same text. A null text is empty. A null doc_id comes before all others; rows with one id are ordered by their text,
-    and equal rows by chance, which changes no result.
-    """
+def _cut(docs: DataFrame, doc_id: str, text: str, schema: str | T.StructType, make, width: int, gram: int, hot: int) -> DataFrame:
+    """One row of every row of docs: make(shard's table, its rows in order, and for each the whole text, starts and ends of what goes)."""
     n = 4 * shuffle_partitions(docs.sparkSession)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rest = F.struct(F.col(text).isNull().alias("null_text"), *(F.col(c) for c in docs.columns if c != text))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), rest.alias("rest"))
+    # every step below reads all columns of this one exchange, so that Spark makes it once
     d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n // 4, "shard")
     gone = removed(d, width, gram, hot)
+    none = np.zeros(0, np.int64)
 
     def cut(t: pa.Table, gone: pa.Table) -> pa.Table:
-        ids, data, starts, ends = _texts(t)
+        ids, data, starts, ends, order = _texts(t)
         row, s, e = (gone.column(c).to_numpy() for c in ("row", "s", "e"))
-        order = np.argsort(row, kind="stable")
-        row, s, e = row[order], s[order], e[order]
+        by = np.argsort(row, kind="stable")
+        row, s, e = row[by], s[by], e[by]
         at = np.searchsorted(row, np.arange(len(ids) + 1))
-        out: list[list] = [[], [], [], [], []]
-        for i in range(len(ids)):
-            whole = data[starts[i] : ends[i]].tobytes()
-            a, b = at[i], at[i + 1]
-            spans, lost, kept = 0, 0, whole
-            if b > a:
-                x, y = _union(s[a:b], e[a:b])
-                spans, lost = len(x), int((y - x).sum())
-                kept = b"".join(whole[p:q] for p, q in zip([0, *y.tolist()], [*x.tolist(), len(whole)], strict=True))
-            for to, v in zip(out, (len(whole), lost, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None), strict=True):
-                to.append(v)
-        null = -(1 << 63)
-        return pa.table({"doc_id": pa.array([None if i == null else i for i in ids.tolist()], pa.int64()), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "kept": pa.array(out[4], pa.binary())})
-
-    return d.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        each = ((data[starts[i] : ends[i]].tobytes(), *(_union(s[at[i] : at[i + 1]], e[at[i] : at[i + 1]]) if at[i + 1] > at[i] else (none, none))) for i in range(len(ids)))
+        return make(t.take(pa.array(order)), each)
+
+    return d.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(cut, schema)
+
+
+def _kept(whole: bytes, s: np.ndarray, e: np.ndarray) -> bytes:
+    return b"".join(whole[p:q] for p, q in zip([0, *e.tolist()], [*s.tolist(), len(whole)], strict=True))
+
+
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+
+    Each byte goes that a string of width bytes covers which also starts earlier: in a smaller doc_id or earlier in the
+    same text. A null text is empty. A null doc_id comes before all others; rows with one id are ordered by their text,
+    and equal rows by chance, which changes no result.
+    """
+
+    def make(t: pa.Table, each: Iterator[tuple]) -> pa.Table:
+        rows = [(len(w), int((e - s).sum()), len(s), hashlib.sha256(_kept(w, s, e)).hexdigest()) for w, s, e in each]
+        names = ("n_bytes", "n_removed", "n_spans")
+        return pa.table({"doc_id": t.column("doc_id")} | {k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(names)} | {"kept_sha256": pa.array([r[3] for r in rows], pa.string())})
+
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _cut(d, "doc_id", "text", "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", make, width, gram, hot)
+
+
+def cut_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """All columns of docs, with the text that stays, and n_cut, the bytes that went. Parts of cut characters go too; a null text stays null."""
+    names = docs.columns
+
+    def make(t: pa.Table, each: Iterator[tuple]) -> pa.Table:
+        rest = t.column("rest").combine_chunks()
+        rows = [(_kept(w, s, e).decode("utf-8", "ignore"), int((e - s).sum())) for w, s, e in each]
+        new = pa.array([None if v else r[0] for r, v in zip(rows, rest.field(0).to_pylist(), strict=True)], pa.string())
+        at = {k: i + 1 for i, k in enumerate(k for k in names if k != text)}
+        return pa.table({k: new if k == text else rest.field(at[k]) for k in names} | {"n_cut": pa.array([r[1] for r in rows], pa.int64())})
+
+    return _cut(docs, doc_id, text, T.StructType([*docs.schema.fields, T.StructField("n_cut", T.LongType())]), make, width, gram, hot)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What repeats of 100 bytes cost every document."""
     from rivulet.llm.common import table
 
-    return cut_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+    return cut_repeats(table(spark, sf_dir, "documents"))
