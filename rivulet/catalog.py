@@ -1,13 +1,219 @@
-"""Registered queries and their SQL."""
+"""Registered queries: a script whose relation `out` is the result, and SQL with the same rows."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rivulet.session import Session
+from rivulet.sources.taps import CONSTANTS
+from rivulet.storage import settings
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+CONSTANTS["ragged"] = ["(1,x,2.5)", "(2)", "(3,,)", "(4,y,1,extra)"]
+CONSTANTS["nested"] = ["((1,a),{(1),(2)},[k#1,l#2])", "((2,b),{},[k#3])", "(,{(3)},)"]
+CONSTANTS["bags"] = ["(1,{(3,c),(1,a),(1,a)})", "(2,{})", "(3,)"]
+CONSTANTS["two_bags"] = ["(1,{(1),(2)},{(10),(20)})", "(2,{(3)},{})"]
+CONSTANTS["maps"] = ["(1,[a#1,b#2])", "(2,[b#2,a#1])", "(3,[a#1])", "(4,)"]
+CONSTANTS["numbers"] = ["(1, 12 )", "(2,1.9)", "(3,-2.5)", "(4,1e3)", "(5,12L)", "(6,1.5f)", "(7,abc)", "(8,2147483648)", "(9,true)", "(10,TRUE)", "(11,t)"]
+CONSTANTS["logic"] = [f"({p},{q})" for p in ("true", "false", "") for q in ("true", "false", "")]
+CONSTANTS["null_l"] = ["(1,a)", "(1,b)", "(2,c)", "(,d)", "(,e)"]
+CONSTANTS["null_r"] = ["(1,x)", "(3,y)", "(,z)"]
+CONSTANTS["pair_l"] = ["(1,,p)", "(1,1,q)"]
+CONSTANTS["pair_r"] = ["(1,,r)", "(1,1,s)"]
+CONSTANTS["ranks"] = ["(a,10)", "(b,10)", "(c,8)", "(d,)"]
+
+#: name: (script, SQL). Tables that a script names are loaded before it.
+SCRIPTS: dict[str, tuple[str, str | None]] = {
+    # ---- sources, projection, filters
+    "tap_scan": ("out = FOREACH nation GENERATE *;", "SELECT * FROM nation"),
+    "tap_limit": ("t = TAP '$sf/region.parquet' LIMIT 100; out = FOREACH t GENERATE r_regionkey, r_name;", "SELECT r_regionkey, r_name FROM region"),
+    "foreach_project": ("out = FOREACH lineitem GENERATE l_orderkey, l_quantity * 2.0 AS twice, $3 AS line;", "SELECT l_orderkey, l_quantity * 2.0::DOUBLE AS twice, l_linenumber AS line FROM lineitem"),
+    "project_range": ("out = FOREACH part GENERATE p_partkey..p_brand, p_size..;", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part"),
+    "project_range_to": ("out = FOREACH part GENERATE ..p_name, $9 AS missing;", "SELECT p_partkey, p_name, NULL::INT AS missing FROM part"),
+    "filter_cmp": ("out = FILTER lineitem BY l_discount > 0.02 AND (l_quantity <= 10 OR l_returnflag == 'R') AND NOT (l_linenumber != 1);", "SELECT * FROM lineitem WHERE l_discount > 0.02 AND (l_quantity <= 10 OR l_returnflag = 'R') AND l_linenumber = 1"),
+    "filter_null3vl": ("a = FOREACH customer GENERATE c_custkey, (c_nationkey == 3 ? null : c_nationkey) AS n; out = FILTER a BY n > 5 OR n IS NULL;", "SELECT c_custkey, nullif(c_nationkey, 3) AS n FROM customer WHERE nullif(c_nationkey, 3) > 5 OR nullif(c_nationkey, 3) IS NULL"),
+    "filter_not_null": ("a = FOREACH customer GENERATE c_custkey, (c_nationkey == 3 ? null : c_nationkey) AS n; out = FILTER a BY NOT (n > 5);", "SELECT c_custkey, nullif(c_nationkey, 3) AS n FROM customer WHERE NOT (nullif(c_nationkey, 3) > 5)"),
+    "filter_matches": ("f = FILTER part BY p_name MATCHES '.*e.*' AND NOT p_type MATCHES 'E'; out = FOREACH f GENERATE p_partkey, p_name MATCHES '[a-m].*' AS low;", "SELECT p_partkey, regexp_full_match(p_name, '[a-m].*') AS low FROM part WHERE regexp_full_match(p_name, '.*e.*') AND NOT regexp_full_match(p_type, 'E')"),
+    "bincond": ("a = FOREACH customer GENERATE c_custkey, (c_nationkey == 3 ? null : c_nationkey) AS n; out = FOREACH a GENERATE c_custkey, (n > 10 ? 'high' : 'low') AS level;", "SELECT c_custkey, CASE WHEN nullif(c_nationkey, 3) > 10 THEN 'high' WHEN NOT nullif(c_nationkey, 3) > 10 THEN 'low' END AS level FROM customer"),
+    "case_in": ("out = FOREACH orders GENERATE o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) AS code, o_orderpriority IN ('1-URGENT', '2-HIGH') AS hot;", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS code, o_orderpriority IN ('1-URGENT', '2-HIGH') AS hot FROM orders"),
+    "logic_tables": ("l = TAP 'logic' USING ConstantTuples() AS (p:boolean, q:boolean); out = FOREACH l GENERATE p, q, p AND q AS a, p OR q AS o, NOT p AS n, (p ? 1 : 0) AS c;", "SELECT p, q, p AND q AS a, p OR q AS o, NOT p AS n, CASE WHEN p THEN 1 WHEN NOT p THEN 0 END AS c FROM (VALUES (true), (false), (NULL::BOOLEAN)) a(p), (VALUES (true), (false), (NULL::BOOLEAN)) b(q)"),
+    # ---- arithmetic and casts
+    "arith_int_div": ("out = FOREACH lineitem GENERATE l_orderkey, l_linenumber, (l_linenumber - 4) / 2 AS half, l_orderkey / l_linenumber AS per;", "SELECT l_orderkey, l_linenumber, (l_linenumber - 4) // 2 AS half, l_orderkey // l_linenumber AS per FROM lineitem"),
+    "arith_div_zero": ("out = FOREACH lineitem GENERATE l_orderkey, l_linenumber, 10 / (l_linenumber - 1) AS a, l_quantity / (l_discount - l_discount) AS b, l_linenumber % (l_linenumber - 1) AS c;", "SELECT l_orderkey, l_linenumber, 10 // nullif(l_linenumber - 1, 0) AS a, NULL::DOUBLE AS b, l_linenumber % nullif(l_linenumber - 1, 0) AS c FROM lineitem"),
+    "arith_mod": ("out = FOREACH lineitem GENERATE l_orderkey, l_linenumber, (l_linenumber - 4) % 3 AS m, l_orderkey % 7L AS k;", "SELECT l_orderkey, l_linenumber, (l_linenumber - 4) % 3 AS m, l_orderkey % 7 AS k FROM lineitem"),
+    "arith_wrap": ("out = FOREACH nation GENERATE n_nationkey, 2147483647 + n_nationkey AS over, -n_nationkey AS less;", "SELECT n_nationkey, ((2147483647::BIGINT + n_nationkey + 2147483648) % 4294967296 - 2147483648)::INT AS over, -n_nationkey AS less FROM nation"),
+    "cast_text_num": (
+        "t = TAP 'numbers' USING ConstantTuples() AS (id:int, s:chararray); out = FOREACH t GENERATE id, (int)s AS i, (long)s AS l, (double)s AS d, (boolean)s AS b;",
+        "SELECT * FROM (VALUES (1,12,12::BIGINT,12.0::DOUBLE,NULL::BOOLEAN),(2,1,1,1.9,NULL),(3,-2,-2,-2.5,NULL),(4,1000,1000,1000.0,NULL),(5,NULL,12,NULL,NULL),(6,1,1,1.5,NULL),(7,NULL,NULL,NULL,NULL),(8,NULL,2147483648,2147483648.0,NULL),(9,NULL,NULL,NULL,true),(10,NULL,NULL,NULL,true),(11,NULL,NULL,NULL,NULL)) t(id,i,l,d,b)",
+    ),
+    "cast_bool_num": ("out = FOREACH lineitem GENERATE l_orderkey, l_linenumber, (int)(l_quantity > 25.0 ? 1.9 : -1.9) AS i, (boolean)(l_linenumber - 1) AS b, (chararray)l_orderkey AS t, (int)(l_orderkey * 10000000000L) AS w;", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 1 ELSE -1 END AS i, l_linenumber <> 1 AS b, l_orderkey::VARCHAR AS t, (((l_orderkey * 10000000000) % 4294967296 + 4294967296 + 2147483648) % 4294967296 - 2147483648)::INT AS w FROM lineitem"),
+    "cast_dt_long": ("out = FOREACH events GENERATE event_id, (long)ts AS ms, ToMilliSeconds((datetime)((long)ts)) AS again;", "SELECT event_id, epoch_ms(ts) AS ms, epoch_ms(ts) AS again FROM events"),
+    # ---- nested values
+    "map_lookup": ("m = FOREACH nation GENERATE n_nationkey, TOMAP('name', n_name, 'region', (chararray)n_regionkey) AS m; out = FOREACH m GENERATE n_nationkey, m#'name' AS name, m#'none' AS none, SIZE(m) AS size;", "SELECT n_nationkey, n_name AS name, NULL::VARCHAR AS none, 2::BIGINT AS size FROM nation"),
+    "map_equality": ("t = TAP 'maps' USING ConstantTuples() AS (id:int, m:map[]); u = FOREACH t GENERATE m; d = DISTINCT u; g = GROUP d ALL; out = FOREACH g GENERATE COUNT_STAR(d) AS n;", "SELECT 3::BIGINT AS n"),
+    "json_lookup": ("out = FOREACH events GENERATE event_id, (int)GET_JSON(props, '$.k') AS k;", "SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events"),
+    "tuple_deref": ("t = FOREACH nation GENERATE TOTUPLE(n_nationkey, n_name) AS t, n_regionkey; out = FOREACH t GENERATE t._1 AS name, t.(_0) AS inner_, n_regionkey; out = FOREACH out GENERATE name, FLATTEN(inner_) AS key, n_regionkey;", "SELECT n_name AS name, n_nationkey AS key, n_regionkey FROM nation"),
+    "bag_project": ("g = GROUP nation BY n_regionkey; b = FOREACH g GENERATE group, nation.(n_nationkey, n_name) AS b; out = FOREACH b GENERATE group, FLATTEN(b);", 'SELECT n_regionkey AS "group", n_nationkey, n_name FROM nation'),
+    "tokenize_flatten": ("w = FOREACH benchmark GENERATE FLATTEN(TOKENIZE(text)) AS word; g = GROUP w BY word; out = FOREACH g GENERATE group AS word, COUNT_STAR(w) AS n;", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \",()*]+')) AS word FROM benchmark) WHERE word <> '' GROUP BY word"),
+    "flatten_product": ("t = TAP 'two_bags' USING ConstantTuples() AS (id:int, p:{(x:int)}, q:{(y:int)}); out = FOREACH t GENERATE id, FLATTEN(p), FLATTEN(q);", "SELECT * FROM (VALUES (1,1,10),(1,1,20),(1,2,10),(1,2,20)) t(id,x,y)"),
+    "bag_functions": (
+        "t = TAP 'bags' USING ConstantTuples() AS (id:int, b:{(x:int,y:chararray)}); out = FOREACH t { d = DISTINCT b; o = ORDER b BY x DESC; l = LIMIT o 1; f = FILTER b BY y == 'a'; GENERATE id, IsEmpty(b) AS e, SIZE(b) AS n, COUNT(d) AS u, SUM(b.x) AS s, AVG(b.x) AS a, MAX(l.x) AS m, COUNT(f) AS f; };",
+        "SELECT * FROM (VALUES (1,false,3::BIGINT,2::BIGINT,5::BIGINT,5/3::DOUBLE,3,2::BIGINT),(2,true,0,0,NULL,NULL,NULL,0),(3,NULL,NULL,NULL,NULL,NULL,NULL,NULL)) t(id,e,n,u,s,a,m,f)",
+    ),
+    "nested_cross": ("t = TAP 'two_bags' USING ConstantTuples() AS (id:int, p:{(x:int)}, q:{(y:int)}); out = FOREACH t { c = CROSS p, q; GENERATE id, FLATTEN(c); };", "SELECT * FROM (VALUES (1,1,10),(1,1,20),(1,2,10),(1,2,20)) t(id,x,y)"),
+    "nested_foreach": ("g = GROUP nation BY n_regionkey; out = FOREACH g { f = FOREACH nation GENERATE n_nationkey * 2 AS k2; GENERATE group AS r, SUM(f.k2) AS s; };", "SELECT n_regionkey AS r, sum(n_nationkey * 2)::BIGINT AS s FROM nation GROUP BY 1"),
+    "text_codec_roundtrip": ("t = TAP 'nested' USING ConstantTuples() AS (t:(a:int,b:chararray), g:{(x:int)}, m:map[int]); out = FOREACH t GENERATE (chararray)t AS t, (chararray)g AS g, (chararray)m AS m;", "SELECT * FROM (VALUES ('(1,a)','{(1),(2)}','[k#1,l#2]'),('(2,b)','{}','[k#3]'),(NULL,'{(3)}',NULL)) t(t,g,m)"),
+    "ragged_rows": ("t = TAP 'ragged' USING ConstantTuples() AS (a:int, b:chararray, c:double); out = FOREACH t GENERATE a, b, c;", "SELECT * FROM (VALUES (1,'x',2.5::DOUBLE),(2,NULL,NULL),(3,'',NULL),(4,'y',1.0)) t(a,b,c)"),
+    # ---- groups
+    "group_count": ("g = GROUP orders BY o_orderstatus; out = FOREACH g GENERATE group AS status, COUNT(orders) AS n;", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1"),
+    "group_multi_key": (
+        "f = FILTER lineitem BY l_discount > 0.02; g = GROUP f BY (l_returnflag, l_linestatus); r = FOREACH g GENERATE FLATTEN(group), COUNT(f) AS n, ROUND_TO(SUM(f.l_quantity), 2) AS qty, ROUND_TO(AVG(f.l_extendedprice), 4) AS price, MIN(f.l_shipdate) AS first, MAX(f.l_tax) AS tax; out = ORDER r BY l_returnflag, l_linestatus;",
+        "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS price, min(l_shipdate) AS first, max(l_tax) AS tax FROM lineitem WHERE l_discount > 0.02 GROUP BY 1, 2",
+    ),
+    "group_all": ("g = GROUP lineitem ALL; out = FOREACH g GENERATE COUNT_STAR(lineitem) AS n, ROUND_TO(SUM(lineitem.l_quantity), 2) AS q;", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem"),
+    "group_null_key": ("a = FOREACH customer GENERATE (c_nationkey == 3 ? null : c_nationkey) AS k, c_acctbal; g = GROUP a BY k; out = FOREACH g GENERATE group AS k, COUNT_STAR(a) AS n, COUNT(a) AS m;", "SELECT nullif(c_nationkey, 3) AS k, count(*) AS n, count(nullif(c_nationkey, 3)) AS m FROM customer GROUP BY 1"),
+    "group_flatten": ("g = GROUP supplier BY s_nationkey; out = FOREACH g GENERATE group, FLATTEN(supplier.s_suppkey) AS s;", 'SELECT s_nationkey AS "group", s_suppkey AS s FROM supplier'),
+    "group_expr_key": ("g = GROUP lineitem BY l_linenumber % 2; out = FOREACH g GENERATE group AS odd, SUM(lineitem.l_linenumber) AS s, SUM(lineitem.l_linenumber) / COUNT(lineitem) AS mean;", "SELECT l_linenumber % 2 AS odd, sum(l_linenumber)::BIGINT AS s, (sum(l_linenumber) // count(*))::BIGINT AS mean FROM lineitem GROUP BY 1"),
+    "having": ("g = GROUP orders BY o_custkey; c = FOREACH g GENERATE group AS k, COUNT(orders) AS n; out = FILTER c BY n > 12L;", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12"),
+    "count_distinct_nested": ("g = GROUP lineitem BY l_returnflag; out = FOREACH g { s = lineitem.l_suppkey; d = DISTINCT s; GENERATE group AS f, COUNT(d) AS n; };", "SELECT l_returnflag AS f, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1"),
+    "top_per_group": ("g = GROUP orders BY o_orderpriority; t = FOREACH g GENERATE group AS p, FLATTEN(TOP(3, 0, orders.(o_orderkey, o_custkey))); out = FOREACH t GENERATE p, o_orderkey, o_custkey;", "SELECT o_orderpriority AS p, o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) <= 3"),
+    "nested_order_limit": ("g = GROUP lineitem BY l_suppkey; out = FOREACH g { o = ORDER lineitem BY l_extendedprice DESC, l_orderkey, l_linenumber; l = LIMIT o 2; GENERATE group AS s, FLATTEN(l.(l_orderkey, l_linenumber)); };", "SELECT l_suppkey AS s, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 2"),
+    "nested_filter_count": ("g = GROUP lineitem BY l_shipdate; out = FOREACH g { f = FILTER lineitem BY l_quantity > 25; GENERATE group AS d, COUNT(f) AS n, ROUND_TO(SUM(f.l_tax), 4) AS t; };", "SELECT l_shipdate AS d, count(*) FILTER (l_quantity > 25) AS n, round(sum(l_tax) FILTER (l_quantity > 25), 4) AS t FROM lineitem GROUP BY 1"),
+    "nested_distinct": ("g = GROUP lineitem BY l_returnflag; out = FOREACH g { d = DISTINCT lineitem.(l_linestatus, l_linenumber); GENERATE group AS f, FLATTEN(d); };", "SELECT DISTINCT l_returnflag AS f, l_linestatus, l_linenumber FROM lineitem"),
+    "corr_cov": ("g = GROUP lineitem BY l_returnflag; out = FOREACH g GENERATE group AS f, ROUND_TO(COR(lineitem.l_quantity, lineitem.l_extendedprice), 6) AS r, ROUND_TO(COV(lineitem.l_quantity, lineitem.l_discount), 6) AS v;", "SELECT l_returnflag AS f, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_pop(l_quantity, l_discount), 6) AS v FROM lineitem GROUP BY 1"),
+    "cube_rollup": ("c = CUBE lineitem BY CUBE(l_returnflag, l_linestatus); out = FOREACH c GENERATE FLATTEN(group), COUNT_STAR(cube) AS n;", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"),
+    "cogroup_counts": ("g = COGROUP customer BY c_custkey, orders BY o_custkey; out = FOREACH g GENERATE group AS k, COUNT(customer) AS c, COUNT(orders) AS o;", "SELECT coalesce(c_custkey, k) AS k, coalesce(c, 0) AS c, coalesce(o, 0) AS o FROM (SELECT c_custkey, count(*) AS c FROM customer GROUP BY 1) FULL JOIN (SELECT o_custkey AS k, count(*) AS o FROM orders GROUP BY 1) ON c_custkey = k"),
+    "cogroup_null_keys": ("l = TAP 'null_l' USING ConstantTuples() AS (k:int, v:chararray); r = TAP 'null_r' USING ConstantTuples() AS (k:int, v:chararray); g = COGROUP l BY k, r BY k; out = FOREACH g GENERATE group AS k, SIZE(l) AS a, SIZE(r) AS b;", "SELECT * FROM (VALUES (1,2::BIGINT,1::BIGINT),(2,1,0),(3,0,1),(NULL,2,0),(NULL,0,1)) t(k,a,b)"),
+    "cogroup_compound_null": ("l = TAP 'pair_l' USING ConstantTuples() AS (a:int, b:int, v:chararray); r = TAP 'pair_r' USING ConstantTuples() AS (a:int, b:int, v:chararray); g = COGROUP l BY (a, b), r BY (a, b); out = FOREACH g GENERATE FLATTEN(group), SIZE(l) AS l, SIZE(r) AS r;", "SELECT * FROM (VALUES (1,NULL,1::BIGINT,1::BIGINT),(1,1,1,1)) t(a,b,l,r)"),
+    "cogroup_inner": ("g = COGROUP nation BY n_nationkey INNER, supplier BY s_nationkey INNER; out = FOREACH g GENERATE group AS k, SIZE(supplier) AS n;", "SELECT s_nationkey AS k, count(*) AS n FROM supplier SEMI JOIN nation ON n_nationkey = s_nationkey GROUP BY 1"),
+    "cogroup_three": ("g = COGROUP nation BY n_nationkey, supplier BY s_nationkey, customer BY c_nationkey; out = FOREACH g GENERATE group AS k, SIZE(nation) AS a, SIZE(supplier) AS b, SIZE(customer) AS c;", "SELECT n_nationkey AS k, 1::BIGINT AS a, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS b, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS c FROM nation"),
+    # ---- joins
+    "join_inner": ("j = JOIN customer BY c_custkey, orders BY o_custkey; out = FOREACH j GENERATE c_custkey, o_orderkey, c_name;", "SELECT c_custkey, o_orderkey, c_name FROM customer JOIN orders ON c_custkey = o_custkey"),
+    "join_left": ("j = JOIN documents BY doc_id LEFT OUTER, labels BY doc_id; out = FOREACH j GENERATE documents::doc_id AS doc_id, labels::quality AS q;", "SELECT d.doc_id, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "join_right": ("j = JOIN labels BY doc_id RIGHT, documents BY doc_id; out = FOREACH j GENERATE documents::doc_id AS doc_id, toxic AS t;", "SELECT d.doc_id, toxic AS t FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "join_full": ("a = FILTER orders BY o_custkey < 100; b = FILTER customer BY c_custkey >= 50; j = JOIN a BY o_custkey FULL, b BY c_custkey; out = FOREACH j GENERATE o_orderkey, c_custkey;", "SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_custkey < 100) FULL JOIN (SELECT * FROM customer WHERE c_custkey >= 50) ON o_custkey = c_custkey"),
+    "join_replicated": ("j = JOIN lineitem BY l_suppkey, supplier BY s_suppkey USING 'replicated'; out = FOREACH j GENERATE l_orderkey, l_linenumber, s_name;", "SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
+    "join_merge": ("j = JOIN orders BY o_orderkey, lineitem BY l_orderkey USING 'merge'; out = FOREACH j GENERATE o_orderkey, l_linenumber, o_orderstatus;", "SELECT o_orderkey, l_linenumber, o_orderstatus FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
+    "join_merge_sparse": ("j = JOIN orders BY o_orderkey, lineitem BY l_orderkey USING 'merge-sparse'; out = FOREACH j GENERATE o_orderkey, l_linenumber;", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
+    "join_skewed": ("j = JOIN events BY user_id, customer BY c_custkey USING 'skewed'; out = FOREACH j GENERATE event_id, c_name;", "SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey"),
+    "join_three_way": ("s2 = FOREACH supplier GENERATE s_suppkey, s_nationkey; c2 = FILTER customer BY c_custkey < 60; j = JOIN nation BY n_nationkey, s2 BY s_nationkey, c2 BY c_nationkey; out = FOREACH j GENERATE n_name, s_suppkey, c_custkey;", "SELECT n_name, s_suppkey, c_custkey FROM nation JOIN supplier ON n_nationkey = s_nationkey JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey < 60"),
+    "join_multi_key": ("a = FOREACH lineitem GENERATE l_orderkey, l_linenumber, l_partkey; b = FOREACH lineitem GENERATE l_orderkey AS k, l_linenumber AS n, l_suppkey; j = JOIN a BY (l_orderkey, l_linenumber), b BY (k, n); out = FOREACH j GENERATE l_orderkey, l_linenumber, l_partkey, l_suppkey;", "SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, b.l_suppkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber"),
+    "join_null_key": ("l = TAP 'null_l' USING ConstantTuples() AS (k:int, v:chararray); r = TAP 'null_r' USING ConstantTuples() AS (k:int, v:chararray); j = JOIN l BY k LEFT, r BY k; out = FOREACH j GENERATE l::k AS k, l::v AS v, r::v AS w;", "SELECT * FROM (VALUES (1,'a','x'),(1,'b','x'),(2,'c',NULL),(NULL,'d',NULL),(NULL,'e',NULL)) t(k,v,w)"),
+    "join_expr_key": ("j = JOIN nation BY n_nationkey % 5, region BY r_regionkey; out = FOREACH j GENERATE n_name, r_name;", "SELECT n_name, r_name FROM nation JOIN region ON n_nationkey % 5 = r_regionkey"),
+    "join_self": ("n2 = FOREACH nation GENERATE *; j = JOIN nation BY n_regionkey, n2 BY n_regionkey; f = FILTER j BY nation::n_nationkey < n2::n_nationkey; out = FOREACH f GENERATE nation::n_nationkey AS a, n2::n_nationkey AS b;", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
+    "join_cogroup_flatten": ("g = COGROUP customer BY c_custkey, orders BY o_custkey; j = FOREACH g GENERATE FLATTEN(customer), FLATTEN(orders); out = FOREACH j GENERATE c_custkey, o_orderkey;", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey"),
+    "join_cogroup_outer": ("g = COGROUP customer BY c_custkey, orders BY o_custkey; j = FOREACH g GENERATE FLATTEN(customer.c_custkey) AS k, FLATTEN((IsEmpty(orders) ? TOBAG(TOTUPLE((long)null)) : orders.(o_orderkey))) AS o; out = FOREACH j GENERATE k, o;", "SELECT c_custkey AS k, o_orderkey AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey"),
+    "semi_cogroup": ("g = COGROUP customer BY c_custkey, orders BY o_custkey; f = FILTER g BY NOT IsEmpty(orders); out = FOREACH f GENERATE FLATTEN(customer.(c_custkey, c_name));", "SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON c_custkey = o_custkey"),
+    "anti_cogroup": ("g = COGROUP documents BY doc_id, labels BY doc_id; f = FILTER g BY IsEmpty(labels); out = FOREACH f GENERATE FLATTEN(documents.doc_id) AS doc_id;", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)"),
+    "theta_cross_filter": ("c = CROSS region, nation; f = FILTER c BY r_regionkey > n_regionkey; out = FOREACH f GENERATE r_regionkey, n_nationkey;", "SELECT r_regionkey, n_nationkey FROM region, nation WHERE r_regionkey > n_regionkey"),
+    "cross": ("out = CROSS region, nation; out = FOREACH out GENERATE r_name, n_name;", "SELECT r_name, n_name FROM region, nation"),
+    # ---- sets, order, rank
+    "union_dup": ("a = FOREACH nation GENERATE n_regionkey, n_name; b = FOREACH region GENERATE r_regionkey, r_name; out = UNION a, b, a;", "SELECT n_regionkey, n_name FROM nation UNION ALL SELECT * FROM region UNION ALL SELECT n_regionkey, n_name FROM nation"),
+    "union_widths": ("a = FOREACH nation GENERATE n_regionkey, n_name; b = FOREACH region GENERATE r_regionkey; out = UNION a, b;", "SELECT n_regionkey, n_name FROM nation UNION ALL SELECT r_regionkey, NULL FROM region"),
+    "union_onschema": ("a = FOREACH nation GENERATE n_regionkey AS k, n_name AS n; b = FOREACH region GENERATE r_name AS r, r_regionkey AS k; out = UNION ONSCHEMA a, b;", "SELECT n_regionkey AS k, n_name AS n, NULL AS r FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region"),
+    "distinct": ("a = FOREACH lineitem GENERATE l_returnflag, l_linestatus, l_linenumber; out = DISTINCT a;", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem"),
+    "split_branches": ("SPLIT customer INTO a IF c_acctbal > 1000, b IF c_acctbal < 5000; x = FOREACH a GENERATE c_custkey, 'a' AS part; y = FOREACH b GENERATE c_custkey, 'b' AS part; out = UNION x, y;", "SELECT c_custkey, 'a' AS part FROM customer WHERE c_acctbal > 1000 UNION ALL SELECT c_custkey, 'b' FROM customer WHERE c_acctbal < 5000"),
+    "split_otherwise": ("n = FOREACH customer GENERATE c_custkey, (c_nationkey == 3 ? null : c_nationkey) AS k; SPLIT n INTO a IF k < 5, out OTHERWISE;", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE NOT coalesce(nullif(c_nationkey, 3) < 5, false)"),
+    "order_limit": ("o = ORDER lineitem BY l_extendedprice DESC, l_orderkey, l_linenumber; l = LIMIT o 25; out = FOREACH l GENERATE l_orderkey, l_linenumber, l_extendedprice;", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY 3 DESC, 1, 2 LIMIT 25"),
+    "order_desc_nulls": ("n = FOREACH customer GENERATE c_custkey, (c_nationkey == 3 ? null : c_nationkey) AS k; o = ORDER n BY k, c_custkey; l = LIMIT o 40; out = FOREACH l GENERATE *;", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY 2 NULLS FIRST, 1 LIMIT 40"),
+    "order_star": ("o = ORDER nation BY * DESC; out = LIMIT o 5;", "SELECT * FROM nation ORDER BY 1 DESC LIMIT 5"),
+    "limit_expr": ("g = GROUP region ALL; c = FOREACH g GENERATE COUNT(region) AS n; o = ORDER nation BY n_nationkey; l = LIMIT o c.n * 2L; out = FOREACH l GENERATE n_nationkey;", "SELECT n_nationkey FROM nation ORDER BY 1 LIMIT 10"),
+    "rank_rownum": ("o = ORDER orders BY o_orderkey; r = RANK o; out = FOREACH r GENERATE rank_o AS r, o_orderkey;", "SELECT row_number() OVER (ORDER BY o_orderkey) AS r, o_orderkey FROM orders"),
+    "rank_gaps": ("r = RANK part BY p_name DESC, p_size; out = FOREACH r GENERATE rank_part AS r, p_partkey;", "SELECT rank() OVER (ORDER BY p_name DESC, p_size) AS r, p_partkey FROM part"),
+    "rank_dense": ("r = RANK part BY p_name DENSE; out = FOREACH r GENERATE rank_part AS r, p_partkey;", "SELECT dense_rank() OVER (ORDER BY p_name) AS r, p_partkey FROM part"),
+    "rank_nulls": ("t = TAP 'ranks' USING ConstantTuples() AS (name:chararray, score:int); r = RANK t BY score DESC; out = FOREACH r GENERATE rank_t AS r, name;", "SELECT * FROM (VALUES (1::BIGINT,'a'),(1,'b'),(3,'c'),(4,'d')) t(r,name)"),
+    "scalar_ref": ("g = GROUP customer ALL; m = FOREACH g GENERATE AVG(customer.c_acctbal) AS avg; f = FILTER customer BY c_acctbal > m.avg; out = FOREACH f GENERATE c_custkey, (c_acctbal > m.avg * 1.5 ? 1 : 0) AS far;", "SELECT c_custkey, CASE WHEN c_acctbal > a * 1.5::DOUBLE THEN 1 ELSE 0 END AS far FROM customer, (SELECT avg(c_acctbal) AS a FROM customer) WHERE c_acctbal > a"),
+    "partition_bind_group": ("a = FOREACH customer GENERATE c_nationkey AS k, c_acctbal AS v; b = FOREACH supplier GENERATE s_nationkey AS k, s_acctbal AS v; p = PARTITION a BY k PARALLEL 4; q = PARTITION b BY k PARALLEL 4; both = BIND p, q; g = COGROUP p BY k, q BY k; out = FOREACH g GENERATE group AS k, COUNT(p) AS a, COUNT(q) AS b;", "SELECT n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS a, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS b FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)"),
+    "partition_union": ("a = FOREACH customer GENERATE c_nationkey AS k; b = FOREACH supplier GENERATE s_nationkey AS k; p = PARTITION a BY k PARALLEL 3; q = PARTITION b BY k PARALLEL 3; both = BIND p, q; g = GROUP both BY k; out = FOREACH g GENERATE group AS k, COUNT(both) AS n;", "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1"),
+    # ---- windows
+    "window_tumbling": ("w = FOREACH events WINDOW 1 HOURS BY event_type ON ts GENERATE event_type, COUNT(events) AS n; out = FOREACH w GENERATE window_start, event_type, n;", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "window_multi_agg": ("w = FOREACH events WINDOW 30 MINUTES BY (event_type, user_id) ON ts GENERATE event_type, user_id, ROUND_TO(SUM(value), 2) AS s, MAX(value) AS m, AVG(value) AS a; out = FOREACH w GENERATE window_start, event_type, user_id, s, m, ROUND_TO(a, 4) AS a;", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS window_start, event_type, user_id, round(sum(value), 2) AS s, max(value) AS m, round(avg(value), 4) AS a FROM events GROUP BY 1, 2, 3"),
+    "window_then_order_limit": ("w = FOREACH events WINDOW 1 HOURS BY event_type ON ts GENERATE event_type, COUNT(events) AS n; o = ORDER w BY n DESC, window_start, event_type; l = LIMIT o 20; out = FOREACH l GENERATE window_start, event_type, n;", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20"),
+    "window_distinct_users": ("w = FOREACH events WINDOW 1 HOURS BY event_type ON ts { d = DISTINCT events.user_id; GENERATE event_type, COUNT(d) AS n; }; out = FOREACH w GENERATE window_start, event_type, n;", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2"),
+    "window_latest": ("w = FOREACH events WINDOW 1 HOURS BY event_type ON ts GENERATE event_type, user_id, COUNT(events) AS n; out = FOREACH w GENERATE window_start, event_type, user_id, n;", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, arg_max(user_id, ts) AS user_id, count(*) AS n FROM events GROUP BY 1, 2"),
+    "window_sliding": ("w = FOREACH events WINDOW 2 HOURS SLIDE 1 HOURS BY event_type ON ts GENERATE event_type, COUNT(events) AS n; out = FOREACH w GENERATE window_start, event_type, n;", "SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS window_start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) t(k) GROUP BY 1, 2"),
+    # ---- functions
+    "fn_string": ("out = FOREACH customer GENERATE c_custkey, CONCAT(c_name, '-', c_mktsegment) AS c, SUBSTRING(c_name, 3, 6) AS s, INDEXOF(c_name, '#') AS i, LAST_INDEX_OF(c_name, '0') AS l, UPPER(c_name) AS u, LCFIRST(c_name) AS lc, UCFIRST(LOWER(c_name)) AS uc, REPLACE(c_name, '0+', '_') AS r, REGEX_EXTRACT(c_name, '#0*([1-9]\\\\d*)', 1) AS x, STARTSWITH(c_name, 'Cust') AS st, TRIM(CONCAT(' ', c_mktsegment, ' ')) AS t, SIZE(c_name) AS n, EqualsIgnoreCase(c_mktsegment, 'building') AS b;",
+        "SELECT c_custkey, c_name || '-' || c_mktsegment AS c, substr(c_name, 4, 3) AS s, instr(c_name, '#')::INT - 1 AS i, (CASE WHEN contains(c_name, '0') THEN length(c_name) - instr(reverse(c_name), '0') ELSE -1 END)::INT AS l, upper(c_name) AS u, lower(c_name[1]) || c_name[2:] AS lc, 'C' || lower(c_name)[2:] AS uc, regexp_replace(c_name, '0+', '_', 'g') AS r, nullif(regexp_extract(c_name, '#0*([1-9]\\d*)', 1), '') AS x, starts_with(c_name, 'Cust') AS st, c_mktsegment AS t, length(c_name)::BIGINT AS n, c_mktsegment = 'BUILDING' AS b FROM customer"),
+    "fn_math": ("out = FOREACH part GENERATE p_partkey, ABS(-p_size) AS a, CEIL(p_retailprice) AS c, FLOOR(p_retailprice) AS f, ROUND(p_retailprice) AS r, ROUND(-p_retailprice) AS q, ROUND_TO(SQRT(p_retailprice), 6) AS s, ROUND_TO(LOG(p_retailprice), 6) AS l, ROUND_TO(SIN(p_retailprice), 6) AS n;", "SELECT p_partkey, p_size AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, floor(p_retailprice + 0.5::DOUBLE)::BIGINT AS r, floor(-p_retailprice + 0.5::DOUBLE)::BIGINT AS q, round(sqrt(p_retailprice), 6) AS s, round(ln(p_retailprice), 6) AS l, round(sin(p_retailprice), 6) AS n FROM part"),
+    "fn_date": ("out = FOREACH orders GENERATE o_orderkey, GetYear(o_orderdate) AS y, GetMonth(o_orderdate) AS m, GetDay(o_orderdate) AS d, GetWeek(o_orderdate) AS w, DaysBetween(o_orderdate, ToDate('1995-06-17T00:00:00Z')) AS days, MonthsBetween(o_orderdate, ToDate('1995-06-17T00:00:00Z')) AS months, ToString(o_orderdate, 'yyyy/MM/dd') AS t, ToMilliSeconds(AddDuration(o_orderdate, 'P1DT2H')) AS later;",
+        "SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d, weekofyear(o_orderdate)::INT AS w, (epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-06-17')) // 86400000 AS days, CASE WHEN o_orderdate >= TIMESTAMP '1995-06-17' THEN datesub('month', TIMESTAMP '1995-06-17', o_orderdate) ELSE -datesub('month', o_orderdate, TIMESTAMP '1995-06-17') END AS months, strftime(o_orderdate, '%Y/%m/%d') AS t, epoch_ms(o_orderdate + INTERVAL 26 HOUR) AS later FROM orders"),
+    "fn_map_bag": ("g = GROUP nation BY n_regionkey; b = FOREACH g { o = ORDER nation BY n_nationkey; GENERATE group AS r, BagToString(o.n_name, '|') AS s, SIZE(SUBTRACT(nation.n_name, TOBAG('CHINA'))) AS n; }; out = FOREACH b GENERATE r, s, n;", "SELECT n_regionkey AS r, string_agg(n_name, '|' ORDER BY n_nationkey) AS s, count(*) FILTER (n_name <> 'CHINA') AS n FROM nation GROUP BY 1"),
+    "fn_map_parts": ("m = FOREACH nation GENERATE n_nationkey, TOMAP('a', n_name, 'b', n_name) AS m; out = FOREACH m GENERATE n_nationkey, SIZE(KEYSET(m)) AS k, SIZE(VALUELIST(m)) AS v, SIZE(VALUESET(m)) AS s;", "SELECT n_nationkey, 2::BIGINT AS k, 2::BIGINT AS v, 1::BIGINT AS s FROM nation"),
+    # ---- functions that a session registers
+    "udf_scalar": ("out = FOREACH nation GENERATE n_nationkey, Shout(n_name) AS s;", "SELECT n_nationkey, upper(n_name) || '!' AS s FROM nation"),
+    "udaf_accumulator": ("g = GROUP lineitem BY l_returnflag; out = FOREACH g GENERATE group AS f, SumSquares(lineitem.l_linenumber) AS s;", "SELECT l_returnflag AS f, sum(l_linenumber * l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1"),
+    "udtf_bag": ("out = FOREACH region GENERATE r_regionkey, FLATTEN(Letters(r_name)) AS c;", "SELECT r_regionkey, unnest(string_split(r_name, '')) AS c FROM region"),
+    "stream_through": ("s = STREAM orders THROUGH `scale#by=3` AS (o_orderkey:long, v:long); out = FOREACH s GENERATE o_orderkey, v;", "SELECT o_orderkey, o_custkey * 3 AS v FROM orders"),
+    "define_macro": ("DEFINE Cut REPLACE('[aeiou]', ''); out = FOREACH nation GENERATE n_nationkey, Cut(LOWER(n_name)) AS s;", "SELECT n_nationkey, regexp_replace(lower(n_name), '[aeiou]', '', 'g') AS s FROM nation"),
+}
+
+SCRIPTS["order_using"] = ("o = ORDER part BY p_name, p_partkey USING ByLength; l = LIMIT o 30; out = FOREACH l GENERATE p_partkey, p_name;", "SELECT p_partkey, p_name FROM part ORDER BY length(p_name), p_name, length(p_partkey::VARCHAR), p_partkey LIMIT 30")
+
+
+def _scale(frames, by="1"):
+    for f in frames:
+        yield pd.DataFrame({"o_orderkey": f["o_orderkey"], "v": f["o_custkey"] * int(by)})
+
+
+def session(spark: SparkSession, **how) -> Session:
+    """A session with the functions that the registered scripts name."""
+    s = Session(spark, out=lambda _: None, **how)
+    s.register_function("Shout", F.pandas_udf(lambda x: x.str.upper() + "!", "string"))
+    s.register_function("SumSquares", lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x.getField("l_linenumber") * x.getField("l_linenumber")))
+    s.register_function("Letters", lambda c: F.transform(F.split(c, ""), lambda x: F.struct(x.alias("c"))))
+    s.register_comparator("ByLength", lambda c: F.struct(F.length(c.cast("string")), c))
+    s.register_stream("scale", _scale)
+    return s
+
+
+def prepared(script: str) -> str:
+    """The script after loads of the tables that it names."""
+    used = [t for t in TABLES if re.search(rf"(?<!['/\w.]){t}\b(?!')", script)]
+    return "".join(f"{t} = LOAD '$sf/{t}.parquet';\n" for t in used) + script
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Timestamps without a zone, as the tables have them."""
+    return df.select(*(F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`") for f in df.schema))
+
+
+def query(script: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = session(spark).load(prepared(script), {"sf": sf_dir}).relation("out")
+        with settings(spark):
+            return plain(out)
+
+    return run
+
+
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly counts as a streaming query over the events, run to its end; all windows, as a batch has them."""
+    import tempfile
+    import uuid
+
+    name = f"windows_{uuid.uuid4().hex}"
+    with settings(spark):
+        events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the source would take a file's path for a folder's
+        s = session(spark, stream=True)
+        s.register_frame("events", events)
+        out = s.load(SCRIPTS["window_tumbling"][0]).relation("out")
+        where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rivulet-")
+        q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return plain(spark.table(name))
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: query(script) for name, (script, _) in SCRIPTS.items()} | {"stream_tumbling_equals_batch": stream_tumbling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in SCRIPTS.items() if sql} | {"stream_tumbling_equals_batch": SCRIPTS["window_tumbling"][1]}

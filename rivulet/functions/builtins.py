@@ -232,10 +232,20 @@ _plain(
     KEYSET=lambda m: F.transform(F.map_keys(m), lambda x: F.struct(x.alias("key"))),
     VALUELIST=lambda m: F.transform(F.map_values(m), lambda x: F.struct(x.alias("value"))),
     VALUESET=lambda m: F.transform(F.array_distinct(F.map_values(m)), lambda x: F.struct(x.alias("value"))),
-    SUBTRACT=lambda a, b: F.array_except(a, b), DIFF=lambda a, b: F.concat(F.array_except(a, b), F.array_except(b, a)),
 )
 
 
+@scalar("SUBTRACT")
+def _subtract(a, t):
+    return F.array_except(a[0], a[1].cast(t[0]))
+
+
+@scalar("DIFF")
+def _diff(a, t):
+    other = a[1].cast(t[0])
+    return F.concat(F.array_except(a[0], other), F.array_except(other, a[0]))
+
+
 @scalar("INVERSEMAP")
 def _inverse(a, t):
     values = F.array_distinct(F.map_values(a[0]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import copy
+import json
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -24,7 +27,7 @@ def col(name: str) -> Column:
 
 @lru_cache(512)
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T.StructType.fromJson(__import__("json").loads(schema)))
+    return spark.createDataFrame([], T.StructType.fromJson(json.loads(schema)))
 
 
 class Scope:
@@ -199,7 +202,7 @@ def _call(node: Call, scope: Scope) -> Column:
         at, by = compile(node.args[0], scope).cast("timestamp"), duration(node.args[1].value)
         return at + by if name == "AddDuration" else at - by
     if name == "REGEX_EXTRACT_ALL":
-        groups = __import__("re").compile(node.args[1].value).groups
+        groups = re.compile(node.args[1].value).groups
         whole = F.concat(F.lit(r"\A(?:"), compile(node.args[1], scope), F.lit(r")\z"))
         s = compile(node.args[0], scope)
         return F.when(F.rlike(s, whole), F.struct(*(F.call_function("regexp_extract", s, whole, F.lit(i + 1)).alias(f"_{i}") for i in range(groups))))
@@ -287,7 +290,11 @@ def compile(node: Node, scope: Scope) -> Column:  # noqa: A001
                 out = out | h
             return out
         if op == "cond":
-            return _condition(*(compile(a, scope) for a in args))
+            yes, no = scope.type(args[1]), scope.type(args[2])
+            c, a, b = (compile(x, scope) for x in args)
+            if yes != no and isinstance(yes, (T.ArrayType, T.StructType)) and isinstance(no, type(yes)):  # tuples whose fields are named otherwise
+                a = a.cast(no)
+            return _condition(c, a, b)
         if op == "case":
             out = compile(args[-1], scope) if len(args) % 2 else F.lit(None)
             for k in range(len(args) // 2 - 1, -1, -1):
@@ -302,11 +309,26 @@ def walk(node: object):
         yield node
         for v in vars(node).values():
             yield from walk(v)
-    elif isinstance(node, (list, tuple)):
-        for v in node:
+    elif isinstance(node, (list, tuple, dict)):
+        for v in node.values() if isinstance(node, dict) else node:
             yield from walk(v)
 
 
+def rewrite(node: object, change: Callable[[Node], Node | None]) -> object:
+    """The same expression with the nodes that change() gives something for in the place of the old ones."""
+    if isinstance(node, Node):
+        new = change(node)
+        if new is not None:
+            return new
+        out = copy.copy(node)
+        for k, v in vars(node).items():
+            setattr(out, k, rewrite(v, change))
+        return out
+    if isinstance(node, dict):
+        return {k: rewrite(v, change) for k, v in node.items()}
+    return type(node)(rewrite(v, change) for v in node) if isinstance(node, (list, tuple)) else node
+
+
 def sort_columns(orders: list[Order], scope: Scope) -> list[Column]:
     """Sort keys: null is the smallest, so first upwards and last downwards."""
     out = []

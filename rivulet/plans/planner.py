@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from rivulet.functions.builtins import AGGREGATES
 from rivulet.functions.casts import cast
 from rivulet.operators import groups, joins, ranks, sets
 from rivulet.plans.ast import Call, Const, Deref, Item, Name, Node, Op, Step
-from rivulet.plans.expressions import Scope, _empty, col, compile, element_scope, expand, sort_bag, sort_columns, walk
+from rivulet.plans.expressions import Scope, _empty, col, compile, element_scope, expand, rewrite, sort_bag, sort_columns, walk
 from rivulet.sources import taps
 from rivulet.streaming.windows import windowed
 from rivulet.types import parse_schema
@@ -120,23 +119,17 @@ def _compile_with(node: Node, scope: _GroupScope) -> Column:
     return compile(_replace(node, scope), scope)
 
 
-def _replace(node, scope: _GroupScope):
+def _replace(node: Node, scope: _GroupScope) -> Node:
     """Aggregate calls below node as fields of the scope that stand for them."""
-    if isinstance(node, Call) and node.name.upper() in (*AGGREGATES, "COR", "COV") and node.name not in scope.functions:
-        key = f"__agg{id(node)}"
-        scope.extra[key] = (scope.column(node), scope._analyzed(node))
-        return Name(key)
-    if isinstance(node, Node):
-        out = copy.copy(node)
-        for k, v in vars(node).items():
-            if isinstance(v, (Node, list, tuple)):
-                setattr(out, k, _replace(v, scope))
-        return out
-    if isinstance(node, list):
-        return [_replace(v, scope) for v in node]
-    if isinstance(node, tuple):
-        return tuple(_replace(v, scope) for v in node)
-    return node
+
+    def change(n: Node) -> Node | None:
+        if isinstance(n, Call) and n.name.upper() in (*AGGREGATES, "COR", "COV") and n.name not in scope.functions:
+            key = f"__agg{id(n)}"
+            scope.extra[key] = (scope.column(n), scope._analyzed(n))
+            return Name(key)
+        return None
+
+    return rewrite(node, change)
 
 
 @dataclass
@@ -194,17 +187,12 @@ class Planner:
             one = one.select(F.when(F.col("n") > 1, F.raise_error(F.lit(f"{alias} has more than one row"))).otherwise(F.col("v")).alias(column))
             df = df.crossJoin(F.broadcast(one))  # one row
 
-        def swap(n):
+        def swap(n: Node) -> Node | None:
             if isinstance(n, Deref) and isinstance(n.of, Name) and (n.of.name, n.fields[0].name) in found:
                 return Name(found[n.of.name, n.fields[0].name])
-            if isinstance(n, Node):
-                out = copy.copy(n)
-                for k, v in vars(n).items():
-                    setattr(out, k, swap(v))
-                return out
-            return [swap(v) for v in n] if isinstance(n, list) else tuple(swap(v) for v in n) if isinstance(n, tuple) else n
+            return None
 
-        return df, swap(nodes)
+        return df, rewrite(nodes, swap)
 
     # ---- sources
 
@@ -569,13 +557,19 @@ class Planner:
                 if node.name.upper() == "COUNT_STAR":
                     return F.count(F.lit(1))
                 return AGGREGATES[node.name.upper()].grouped(c, t)
-            inner = [n for n in walk(node) if isinstance(n, Call) and n.name.upper() in AGGREGATES]
-            if not inner:
+            if not any(isinstance(n, Call) and n.name.upper() in AGGREGATES for n in walk(node)):
                 return F.max_by(compile(node, rows), latest)
-            if isinstance(node, Op) and node.op in ("+", "-", "*", "/"):
-                x, y = (build(n) for n in node.args)
-                return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.when(y != 0, x / y)}[node.op]()
-            raise FlowError("a window's outputs are aggregates and arithmetic over them", 1010, node.line, node.column)
+
+            def change(n: Node) -> Node | None:
+                if repr(n) in key_of or isinstance(n, Call) and n.name.upper() in AGGREGATES:
+                    key = f"__agg{id(n)}"
+                    c = build(n)
+                    frame = df.groupBy(*(k.alias(f"__k{i}") for i, k in enumerate(keys))) if repr(n) in key_of else df
+                    scope.extra[key] = (c, frame.agg(F.max(F.lit(1))).select(c.alias("x")).schema[0].dataType if repr(n) in key_of else df.agg(c.alias("x")).schema[0].dataType)
+                    return Name(key)
+                return None
+
+            return compile(rewrite(node, change), scope)
 
         outs = [build(i.expr).alias(parse_schema(i.names)[0].name if i.names else self._name(i.expr, k)) for k, i in enumerate(block[-1].args["items"])]
         return Relation(windowed(df, on, a["every"], keys, outs, a.get("slide")))

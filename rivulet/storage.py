@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 #: Scripts wrap around on overflow and give null for bad casts and division by zero; names tell cases apart.
-SETTINGS = {"spark.sql.ansi.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.caseSensitive": "true"}
+SETTINGS = {"spark.sql.ansi.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.caseSensitive": "true", "spark.sql.legacy.sizeOfNull": "false"}
 
 
 @contextmanager
