@@ -39,10 +39,10 @@ _BITS = 21
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Positions of data in the order of their suffixes (Larsson-Sadakane)."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(4, np.uint64)])  # the end comes before all bytes
     key = np.zeros(n, np.uint64)
-    for k in range(5):
-        key = key << np.uint64(8) | padded[k : n + k]
+    for k in range(4):
+        key = key << np.uint64(9) | padded[k : n + k]
     pos = np.arange(n, dtype=np.uint64)
     small, mask = n < 1 << _BITS, np.uint64((1 << _BITS) - 1)
     if small:
@@ -51,7 +51,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     else:
         sa = np.argsort(key, kind="stable")
         key = key[sa]
-    slots, h = np.arange(n), 5
+    slots, h = np.arange(n), 4
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
     rank = np.empty(n + 1, np.int64)

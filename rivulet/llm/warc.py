@@ -63,12 +63,12 @@ def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     return d.select("page_id", "url", "payload", "payload_bytes", "digest", revisit.alias("revisit"), F.when(revisit, F.col("keep")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
+def write_archives(records: DataFrame, folder: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """Writes the records that plan() gives and returns the manifest: path and records of each archive."""
     root = f"{folder or shared_dir(records.sparkSession)}/warc-{uuid.uuid4().hex}"
-    chunks = F.when(F.col("revisit"), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("payload_bytes") / CHUNK), F.lit(1))).cast("int")
+    chunks = F.when(F.col("revisit"), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1))).cast("int")
     d = records.withColumn("chunks", chunks).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    piece = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.expr(f"substring(payload, chunk_no * {CHUNK} + 1, {CHUNK})"))
+    piece = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})"))
     d = d.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "payload_bytes", "digest", "revisit", "refers_to", "chunks", "chunk_no", piece.alias("chunk"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _head(stream: _Stream) -> dict[str, str]:
     return out
 
 
-def _records(file, payload: bool) -> Iterator[tuple]:
+def _records(file, payload: bool, chunk: int = CHUNK) -> Iterator[tuple]:
     """The chunk rows of an archive; with payload false only the last row of each record, without its bytes."""
     s = _Stream(file)
     while (version := s.line()) is not None:
@@ -166,7 +166,7 @@ def _records(file, payload: bool) -> Iterator[tuple]:
         if head["warc-type"] not in ("response", "revisit"):
             left = int(head["content-length"])
             while left:
-                left -= len(s.some(min(left, CHUNK)))
+                left -= len(s.some(min(left, chunk)))
             continue
         left = int(head["content-length"])
         status = s.line()
@@ -181,8 +181,8 @@ def _records(file, payload: bool) -> Iterator[tuple]:
         sha, size, k = hashlib.sha1(), 0, 0
         while True:
             part = bytearray()
-            while left and len(part) < CHUNK:
-                x = s.some(min(left, CHUNK - len(part)))
+            while left and len(part) < chunk:
+                x = s.some(min(left, chunk - len(part)))
                 part += x
                 left -= len(x)
             sha.update(part)
@@ -196,7 +196,7 @@ def _records(file, payload: bool) -> Iterator[tuple]:
             raise ValueError(f"the payload of page {page} isn't what its digest says")
 
 
-def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, payload: bool = True, chunk: int = CHUNK) -> DataFrame:
     """The chunk table (RECORDS) of the archives: bytes and digest so far of each chunk, and whether it is the last.
 
     payload false: only each record's last row, with a null chunk. A revisit is one row, with the size and digest of
@@ -212,7 +212,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
                 fs, name = _fs(path)
                 with fs.open_input_stream(name, compression=None) as file:
                     rows, held = [], 0
-                    for r in _records(file, payload):
+                    for r in _records(file, payload, chunk):
                         rows.append(r)
                         held += len(r[-1] or b"") + 200
                         if held > 8 * CHUNK:
