@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import checkpoint, components, local_roots
+from rivulet.llm.common import checkpoint, components, local_roots, shuffle_partitions
 
 #: Words of a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, RADIUS = 4, 4
@@ -101,22 +101,24 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     near = [[k for k, (low, high, _) in enumerate(bands) if low - radius <= band[1] and band[0] <= high + radius] for band in bands]
     at = lambda values, k: F.get(F.array(*map(F.lit, values)), k)
     d = fps.withColumn("band", at(of, F.col("ones")))
-    d = d.withColumn("own", F.pmod(F.xxhash64("fp"), at([x[2] for x in bands], F.col("band"))).cast("int")).withColumn("parts", F.array(*(F.lit(x[2]) for x in bands)))
-    # every pair of tiles (p, i), (q, j) of bands within the radius, in order; each row goes to all pairs of its tile
-    d = d.withColumn("low", at([x[0] for x in near], F.col("band"))).withColumn("high", at([x[-1] for x in near], F.col("band")))
-    d = d.withColumn("far", F.expr("flatten(transform(sequence(low, high), q -> transform(sequence(0, parts[q] - 1), j -> named_struct('q', q, 'j', j))))"))
-    d = d.select("fp", "band", "own", F.explode("far").alias("x"))
-    first = (F.col("band") < F.col("x.q")) | ((F.col("band") == F.col("x.q")) & (F.col("own") <= F.col("x.j")))
-    here, there = F.struct(F.col("band").alias("q"), F.col("own").alias("j")), F.struct("x.q", "x.j")
-    d = d.select("fp", F.when(first, here).otherwise(there).alias("l"), F.when(first, there).otherwise(here).alias("r"), first.alias("left"))
-
-    def compare(t: pa.Table) -> pa.Table:
-        fp, left = t.column("fp").to_numpy().astype(np.int64).view(np.uint64), t.column("left").to_numpy(zero_copy_only=False)
-        l, r = t.column("l")[0].as_py(), t.column("r")[0].as_py()  # noqa: E741
-        a, b = _forest(fp, None, radius) if l == r else _forest(fp[left], fp[~left], radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return d.groupBy("l", "r").applyInArrow(compare, "a long, b long")
+    d = d.withColumn("own", F.pmod(F.xxhash64("fp"), at([x[2] for x in bands], F.col("band"))).cast("int"))
+    # a tile is one row, so that what goes to every pair of tiles is a block of numbers and not each of them
+    tiles = checkpoint(d.groupBy("band", "own").agg(F.collect_list("fp").alias("fps")))
+    left = tiles.withColumn("low", F.col("band")).withColumn("high", at([x[-1] for x in near], F.col("band"))).withColumn("parts", F.array(*(F.lit(x[2]) for x in bands)))
+    left = left.withColumn("x", F.explode(F.expr("flatten(transform(sequence(low, high), q -> transform(sequence(if(q = band, own, 0), parts[q] - 1), j -> named_struct('band', q, 'own', j))))")))
+    left = left.select(F.struct("band", "own").alias("l"), F.col("x").alias("r"), F.col("fps").alias("a"))
+    right = tiles.select(F.struct("band", "own").alias("key"), F.col("fps").alias("b"))
+    pairs = left.join(right, F.col("r") == F.col("key")).select("l", "r", "a", "b").repartition(shuffle_partitions(fps.sparkSession), "l", "r")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for k in range(t.num_rows):
+                a, b = (t.column(c)[k].values.to_numpy().view(np.uint64) for c in ("a", "b"))
+                x, y = _forest(a, None if t.column("l")[k] == t.column("r")[k] else b, radius)
+                if len(x):
+                    yield pa.RecordBatch.from_pydict({"a": x.view(np.int64), "b": y.view(np.int64)})
+
+    return pairs.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
