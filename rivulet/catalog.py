@@ -54,7 +54,7 @@ SCRIPTS: dict[str, tuple[str, str | None]] = {
         "SELECT * FROM (VALUES (1,12,12::BIGINT,12.0::DOUBLE,NULL::BOOLEAN),(2,1,1,1.9,NULL),(3,-2,-2,-2.5,NULL),(4,1000,1000,1000.0,NULL),(5,NULL,12,NULL,NULL),(6,1,1,1.5,NULL),(7,NULL,NULL,NULL,NULL),(8,NULL,2147483648,2147483648.0,NULL),(9,NULL,NULL,NULL,true),(10,NULL,NULL,NULL,true),(11,NULL,NULL,NULL,NULL)) t(id,i,l,d,b)",
     ),
     "cast_bool_num": ("out = FOREACH lineitem GENERATE l_orderkey, l_linenumber, (int)(l_quantity > 25.0 ? 1.9 : -1.9) AS i, (boolean)(l_linenumber - 1) AS b, (chararray)l_orderkey AS t, (int)(l_orderkey * 10000000000L) AS w;", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 1 ELSE -1 END AS i, l_linenumber <> 1 AS b, l_orderkey::VARCHAR AS t, (((l_orderkey * 10000000000) % 4294967296 + 4294967296 + 2147483648) % 4294967296 - 2147483648)::INT AS w FROM lineitem"),
-    "cast_dt_long": ("out = FOREACH events GENERATE event_id, (long)ts AS ms, ToMilliSeconds((datetime)((long)ts)) AS again;", "SELECT event_id, epoch_ms(ts) AS ms, epoch_ms(ts) AS again FROM events"),
+    "cast_dt_long": ("out = FOREACH events GENERATE event_id, (long)ts AS ms, ToMilliSeconds((datetime)((long)ts)) AS again;", "SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 AS again FROM events"),
     # ---- nested values
     "map_lookup": ("m = FOREACH nation GENERATE n_nationkey, TOMAP('name', n_name, 'region', (chararray)n_regionkey) AS m; out = FOREACH m GENERATE n_nationkey, m#'name' AS name, m#'none' AS none, SIZE(m) AS size;", "SELECT n_nationkey, n_name AS name, NULL::VARCHAR AS none, 2::BIGINT AS size FROM nation"),
     "map_equality": ("t = TAP 'maps' USING ConstantTuples() AS (id:int, m:map[]); u = FOREACH t GENERATE m; d = DISTINCT u; g = GROUP d ALL; out = FOREACH g GENERATE COUNT_STAR(d) AS n;", "SELECT 3::BIGINT AS n"),

@@ -19,8 +19,8 @@ def _whole(text: Column, bits: int) -> Column:
     low, high = -(1 << bits), (1 << bits) - 1
     name = "int" if bits == 31 else "bigint"
     number = text.cast("double")
-    cut = F.when((number > low - 1 if bits == 31 else number >= float(low)) & (number < high + 1), number.cast(name))
-    return F.when(digits.isNotNull(), F.when((digits >= F.lit(low).cast("decimal(38,0)")) & (digits <= F.lit(high).cast("decimal(38,0)")), digits.cast(name))).otherwise(cut)
+    cut = F.when((number > float(low - 1) if bits == 31 else number >= float(low)) & (number < float(high + 1)), number.cast(name))
+    return F.when(digits.isNotNull(), F.when((digits >= F.lit(str(low)).cast("decimal(38,0)")) & (digits <= F.lit(str(high)).cast("decimal(38,0)")), digits.cast(name))).otherwise(cut)
 
 
 def cast(c: Column, source: T.DataType, target: T.DataType) -> Column:

@@ -172,11 +172,12 @@ class Planner:
 
     # ---- scalars: A.f where A is a relation of one row
 
-    def _scalars(self, df: DataFrame, nodes: object) -> tuple[DataFrame, object]:
+    def _scalars(self, df: DataFrame, nodes: object, bags: tuple[str, ...] = ()) -> tuple[DataFrame, object]:
+        """The frame with a column for each scalar, and the nodes that name it; bags are names that are no scalars."""
         known = self.scope(df)
         found: dict[tuple, str] = {}
         for n in walk(nodes):
-            if isinstance(n, Deref) and isinstance(n.of, Name) and isinstance(n.of.name, str) and known.find(n.of.name) is None and n.of.name in self.relations:
+            if isinstance(n, Deref) and isinstance(n.of, Name) and isinstance(n.of.name, str) and n.of.name not in bags and known.find(n.of.name) is None and n.of.name in self.relations:
                 found.setdefault((n.of.name, n.fields[0].name), f"__scalar{len(found)}")
         if not found:
             return df, nodes
@@ -376,7 +377,7 @@ class Planner:
                     return self._fused(of.grouped, block)
                 except _NotFused:
                     pass
-        df, block = self._scalars(of.df, block)
+        df, block = self._scalars(of.df, block, tuple(s.alias for s in block[:-1]))
         scope = self.scope(df)
         for s in block[:-1]:
             scope.extra[s.alias] = self._nested(s, scope)
@@ -402,7 +403,7 @@ class Planner:
         alias, df, _, _ = g.inputs[0]
         if "group" in df.columns:
             raise _NotFused
-        df, block = self._scalars(df.withColumn("group", g.key(0)), block)
+        df, block = self._scalars(df.withColumn("group", g.key(0)), block, (alias, *(s.alias for s in block[:-1])))
         rows = self.scope(df.drop("group"))
         scope = _GroupScope(self.scope(df), alias, rows, df.schema["group"].dataType)
         for s in block[:-1]:
