@@ -318,6 +318,28 @@ def test_simhash(docs, empty, tile):
     assert simhash.near_duplicates(empty).collect() == []
 
 
+def test_similar(spark, empty):
+    r, texts = random.Random(3), []
+    for k in range(25):
+        words = prose(300, 50 + k).split()
+        texts.append(" ".join(words))
+        for edits in (1, 3, 6, 30, 60):
+            w = list(words)
+            for _ in range(edits):
+                w[r.randrange(len(w))] = f"new{r.random()}"
+            texts.append(" ".join(w))
+    texts += [texts[0], None, "", " ", "a b", "A  b", "a c"]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    x, y = np.nonzero([[len(a & b) >= 0.8 * len(a | b) for b in grams] for a in grams])
+    want = common.local_roots(len(texts), x, y)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (20, 8192):
+        got = {q.doc_id: q.component_id for q in simhash.similar(d, tile=tile).collect()}
+        assert np.mean([got[i] == want[i] for i in range(len(texts))]) > 0.97
+        assert all(want[i] == want[got[i]] for i in got)  # nothing unlike is joined
+    assert simhash.similar(empty).collect() == []
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
