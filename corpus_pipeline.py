@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near copies."""
-    first = simhash.near_duplicates(docs).where("first").select(F.col("doc_id").alias("kept")).distinct()
+    """Keeps one document, the one with the smallest id, of each group whose shingles of five words are 0.8 alike or more."""
+    first = simhash.similar(docs).where("first").select(F.col("doc_id").alias("kept")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept"))).select(*docs.columns)
 
 
