@@ -35,16 +35,14 @@ def apply_schema(df: DataFrame, schema: T.StructType | None) -> DataFrame:
 
 def from_lines(lines: DataFrame, delimiter: str, schema: T.StructType | None, width: int | None = None) -> DataFrame:
     """Fields of lines (column value), cut at a regular expression; trailing empty fields count as missing."""
-    parts = F.filter(F.split("value", delimiter), lambda x: F.lit(True))
-    d = lines.select(parts.alias("p"))
-    filled = F.aggregate("p", F.struct(F.lit(0).alias("i"), F.lit(0).alias("last")), lambda a, x: F.struct((a.i + 1).alias("i"), F.when(x != "", a.i + 1).otherwise(a["last"]).alias("last")), lambda a: a["last"])
-    d = d.select(F.slice("p", F.lit(1), filled).alias("p"))
+    d = lines.select(F.split("value", delimiter).alias("p"))
+    last = F.coalesce(F.array_max(F.filter(F.transform("p", lambda x, i: F.when(x != "", i + 1)), lambda i: i.isNotNull())), F.lit(0))
+    d = d.select(F.slice("p", F.lit(1), last).alias("p"))
     n = len(schema) if schema is not None else width
     if n is None:
         n = d.agg(F.max(F.size("p"))).first()[0] or 1
     d = d.select(*(F.get("p", F.lit(k)).alias(f"_{k}") for k in range(n)))
-    typed = None if schema is None else T.StructType([f for f in schema])
-    return apply_schema(d, typed)
+    return apply_schema(d, schema)
 
 
 def text_tap(spark: SparkSession, path: str, args: list, schema: T.StructType | None, stream: bool) -> DataFrame:
