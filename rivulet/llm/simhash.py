@@ -25,6 +25,8 @@ TILE = 8192
 #: Of similar(): bits within which texts of that similarity are found, slots of a MinHash sketch, and how far below the
 #: similarity a sketch may be for the texts to be compared.
 WIDE_RADIUS, SLOTS, SLACK = 12, 64, 0.1
+#: Its tiles hold sketches too and nearly all pairs of them meet, so fewer and larger ones move less.
+WIDE_TILE = 32768
 SEED = 42
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
@@ -237,7 +239,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return d.join(named, "fp").select("doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
     """doc_id, component_id and first of every row, where texts link whose shingle sets are similar (Jaccard).
 
     Fingerprints within a wide radius propose pairs, MinHash sketches in the same tiles sort out those that can't be
