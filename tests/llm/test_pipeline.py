@@ -45,6 +45,12 @@ def test_stages(spark, docs, tmp_path):
     assert all(r.exact and r.n_tokens == len(r.ids) > 0 for r in seen["encoded"]) and len(seen["encoded"]) == len(seen["mixture"])
 
 
+def test_stages_on_nothing(spark):
+    d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d, None).collect() == []
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
