@@ -227,6 +227,7 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HO
         order = np.argsort(h)
         h, is_hot = h[order], known.column("hot").to_numpy(zero_copy_only=False)[order]
         shard, seen, out = t.column("shard")[0].as_py(), set(), [[] for _ in range(6)]
+        done: list[list[int]] = [[], [], []]
         for ids, rows, joined, begin, got, first, last in _found(t, width, gram):
             at = np.searchsorted(h, got)
             at[at == len(h)] = 0
@@ -242,12 +243,18 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HO
             text = joined.tobytes()
             for key, a, b, r, one in zip(got.tolist(), first.tolist(), (last + width).tolist(), row.tolist(), each.tolist(), strict=True):
                 ctx = text[a:b]
-                new = ctx not in seen
-                if new:
-                    seen.add(ctx)
-                    key = xxhash.xxh64_intdigest(ctx) - (1 << 63) if one else key
-                for to, x in zip(out, (key, ids[rows[r]], rows[r], a - begin[r], b - begin[r], ctx if new else None), strict=True):
+                if ctx in seen:  # all of it began earlier in this very shard
+                    for to, x in zip(done, (rows[r], a - begin[r], b - begin[r]), strict=True):
+                        to.append(x)
+                    continue
+                seen.add(ctx)
+                key = xxhash.xxh64_intdigest(ctx) - (1 << 63) if one else key
+                for to, x in zip(out, (key, ids[rows[r]], rows[r], a - begin[r], b - begin[r], ctx), strict=True):
                     to.append(x)
+        # what is decided goes along with the contexts, under keys of its own
+        for r, a, b in zip(*(x.tolist() for x in _merged(*(np.array(x, np.int64) for x in done))), strict=True):
+            for to, x in zip(out, (xxhash.xxh64_intdigest(b"%d %d %d" % (shard, r, a)) - (1 << 63), ids[r], r, a, b, None), strict=True):
+                to.append(x)
         return pa.table({"key": pa.array(out[0], pa.int64()), "doc": pa.array(out[1], pa.int64()), "shard": pa.array([shard] * len(out[0]), pa.int32()), "row": pa.array(out[2], pa.int32()), "s": pa.array(out[3], pa.int64()), "e": pa.array(out[4], pa.int64()), "ctx": pa.array(out[5], pa.binary())})
 
     sent = docs.groupBy("shard").cogroup(often.groupBy("shard")).applyInArrow(contexts, _CONTEXTS)
@@ -274,7 +281,11 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HO
         of = np.searchsorted(off, a, side="right") - 1
         o = order[new][of]
         gone = np.concatenate([np.flatnonzero(done), order[again]])
-        return pa.RecordBatch.from_pydict({"shard": pa.array(np.concatenate([c["shard"][gone], c["shard"][o]]), pa.int32()), "row": pa.array(np.concatenate([c["row"][gone], c["row"][o]]), pa.int32()), "s": np.concatenate([c["s"][gone], c["s"][o] + a - off[of]]), "e": np.concatenate([c["e"][gone], c["s"][o] + b - off[of] + width - 1])})
+        which = np.concatenate([c["shard"][gone].astype(np.int64) << 32 | c["row"][gone], c["shard"][o].astype(np.int64) << 32 | c["row"][o]])
+        each, group = np.unique(which, return_inverse=True)
+        s, e = np.concatenate([c["s"][gone], c["s"][o] + a - off[of]]), np.concatenate([c["e"][gone], c["s"][o] + b - off[of] + width - 1])
+        group, s, e = _merged(group.astype(np.int64), s, e)
+        return pa.RecordBatch.from_pydict({"shard": pa.array(each[group] >> 32, pa.int32()), "row": pa.array(each[group] & 0xFFFFFFFF, pa.int32()), "s": s, "e": e})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key", ARRAY // (width + 40)):
@@ -283,6 +294,15 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HO
     return sent.repartition(n, "key").sortWithinPartitions("key").mapInArrow(merge, _INTERVALS)
 
 
+def _merged(group: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group numbers, starts and ends of the unions of intervals within each group."""
+    if not len(s):
+        return group, s, e
+    far = 1 << 38  # beyond any text
+    s, e = _union(group * far + s, group * far + e)
+    return s // far, s % far, e - s // far * far
+
+
 def _union(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal intervals that cover the same as these; touching ones are one."""
     order = np.argsort(s, kind="stable")
