@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 PROFILE = 400
 #: Bound of the sample that profiles are learned from: so many whole documents of each language.
 TRAIN_PER_LANGUAGE = 500
+#: Parts of a language that the sample is first drawn from; the second draw sees SALTS * TRAIN_PER_LANGUAGE ids at most.
+SALTS = 16
 #: Code points whose n-grams are counted at once, so that a very long text needs bounded memory.
 PIECE = 1 << 20
 BLANK = 1
@@ -75,7 +77,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     Rows without a language or a text teach nothing. What reaches the driver is size n-grams for each language.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
-    chosen = d.where("text IS NOT NULL").select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= per_language)
+    # first within SALTS parts of each language, so that no task sees more than its share of a common one
+    ids = d.where("text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= per_language).drop("k")
+    chosen = ids
     sample = d.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")  # at most per_language ids of each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
