@@ -215,7 +215,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, forest=None, o
         for t in batches:
             for k in range(t.num_rows):
                 a, b = (t.column(c)[k].values for c in ("a", "b"))
-                x, y = forest(a, None if t.column("l")[k] == t.column("r")[k] else b, radius)
+                x, y = forest(a, None if t.column("l")[k].as_py() == t.column("r")[k].as_py() else b, radius)
                 if len(x):
                     yield pa.RecordBatch.from_pydict({"a": x, "b": y})
 
