@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import checkpoint, components, local_roots, shuffle_partitions
+from rivulet.llm.common import checkpoint, components, local_roots, shuffle_partitions, whole_groups
 
 #: Words of a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, RADIUS = 4, 4
@@ -27,6 +27,8 @@ TILE = 8192
 WIDE_RADIUS, SLOTS, SLACK = 12, 64, 0.1
 #: Its tiles hold sketches too and nearly all pairs of them meet, so fewer and larger ones move less.
 WIDE_TILE = 32768
+#: Shingles of the texts that meet in one task when a group is compared pair by pair, about.
+MEET = 1 << 19
 SEED = 42
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
@@ -239,12 +241,77 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return d.join(named, "fp").select("doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
 
 
+def _linked(grams: list[np.ndarray], part: np.ndarray, split: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what all similar pairs join: pairs of all rows (split 0), or of the first split rows and the others.
+
+    Rows of one part are joined already; every pair of rows that aren't joined yet is compared by its whole sets.
+    """
+    n, sizes = len(grams), np.array([len(g) for g in grams])
+    words = np.unique(np.concatenate(grams), return_inverse=True)[1]
+    ends = np.cumsum([0, *sizes])
+    _, first, at = np.unique(part, return_index=True, return_inverse=True)
+    before = label = first[at]
+    seen = np.zeros(int(words.max(initial=-1)) + 1, bool)
+    for i in range(split or n):
+        to = np.arange(split or i + 1, n)
+        to = to[(label[to] != label[i]) & (np.minimum(sizes[to], sizes[i]) >= similarity * np.maximum(sizes[to], sizes[i])) & (sizes[to] > 0)]
+        if len(to):
+            mine = words[ends[i] : ends[i + 1]]
+            seen[mine] = True
+            shared = np.add.reduceat(seen[np.concatenate([words[ends[k] : ends[k + 1]] for k in to])], np.cumsum([0, *sizes[to[:-1]]]), dtype=np.int64)
+            seen[mine] = False
+            to = to[shared >= similarity * (sizes[i] + sizes[to] - shared)]
+            label = local_roots(n, np.full(len(to), i), to, label.copy())
+    new = np.flatnonzero((before == np.arange(n)) & (label != before))
+    return new, label[new]
+
+
+def _rest(groups: DataFrame, parts: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """a and b: links between the parts of each group of proposed pairs that join what all similar pairs in it join.
+
+    groups and parts: node and root over proposed and over similar pairs. A group of one part is done. The others are cut
+    into tiles of MEET shingles; all pairs of tiles meet, but for those of which both hold only the group's largest part.
+    """
+    n = shuffle_partitions(grams.sparkSession)
+    m = groups.select("node", F.col("root").alias("grp")).join(parts.select(F.col("node").alias("n2"), F.col("root").alias("part")), F.col("node") == F.col("n2"), "left")
+    m = m.select("node", "grp", F.coalesce("part", "node").alias("part")).join(grams.select(F.col("doc_id").alias("node"), F.size("grams").alias("size")), "node")
+    m = checkpoint(m)
+    each = m.groupBy("grp", "part").agg(F.sum("size").alias("size"))
+    todo = each.groupBy("grp").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "part")).alias("top")).where("parts > 1")
+    apart = F.col("all") > MEET  # a small group is one tile
+    todo = todo.select("grp", F.when(apart, F.col("top.part")).alias("main"), F.when(apart, F.ceil(F.col("top.size") / MEET)).otherwise(0).alias("k"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.when(apart, F.col("top.size")).otherwise(0)) / MEET)).alias("j"))
+    d = m.join(todo, "grp").withColumn("is_main", F.col("part").eqNullSafe(F.col("main"))).withColumn("h", F.xxhash64("node"))
+    d = d.withColumn("own", F.when(F.col("is_main"), F.expr("pmod(h, k)")).otherwise(F.expr("k + pmod(h, j)")))
+    d = d.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("k")).otherwise(F.lit(0)), F.expr("k + j - 1"))))
+    d = d.select("node", "part", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("alone"), F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    d = d.join(grams, F.col("node") == F.col("doc_id")).select("key", "node", "part", "first", "alone", "grams")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "key"):
+            t = t.combine_chunks()
+            key, node, part, first, alone = (t.column(c).to_numpy() for c in ("key", "node", "part", "first", "alone"))
+            lists = t.column("grams").combine_chunks()
+            flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                order = i + np.argsort(~first[i:j], kind="stable")
+                split = 0 if alone[i] else int(first[i:j].sum())
+                if j - i > 1 and (alone[i] or 0 < split < j - i):
+                    x, y = _linked([flat[off[k] : off[k + 1]] for k in order], part[order], split, similarity)
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[order[x]]), pa.array(node[order[y]])], ["a", "b"])
+
+    return d.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
     """doc_id, component_id and first of every row, where texts link whose shingle sets are similar (Jaccard).
 
     Fingerprints within a wide radius propose pairs, MinHash sketches in the same tiles sort out those that can't be
     similar, and each tile pair returns a forest of the others, the most similar first; its pairs are then compared by
-    their whole sets of shingles. So a group of any size costs as many comparisons as it has members. Texts whose
+    their whole sets of shingles. A forest reaches what all proposed pairs reach, so what it joins is a group that no link
+    leaves. Where a pair of it fails, every two texts of the group that similar pairs don't join yet are compared by their
+    whole sets too: a group of true copies costs as many comparisons as it has members, others up to all pairs. Texts whose
     fingerprint and sketch are equal count as copies. Texts without words, null ones too, are copies of each other.
     A pair as similar as asked for is within the radius in about 19 of 20 cases, nearly always from 0.9 on.
     """
@@ -275,7 +342,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     left, right = (grams.select(F.col("doc_id").alias(c), F.col("grams").alias(f"of_{c}")) for c in ("a", "b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     near = pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-    root = components(near)
+    near = checkpoint(near)
+    root = components(near.unionByName(_rest(components(pairs), components(near), grams, similarity)))
     named = checkpoint(nodes.join(root, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("f"), F.col("sketch").alias("s"), F.coalesce("root", "least").alias("component_id")))
     out = d.join(named, (F.col("fp") == F.col("f")) & (F.col("sketch") == F.col("s")))
     return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))

@@ -340,6 +340,29 @@ def test_similar(spark, empty):
     assert simhash.similar(empty).collect() == []
 
 
+def near_limit(members, edits):
+    """Variants of one text, many pairs of which are just above or below 0.8 alike, and their exact components."""
+    r, base, texts = random.Random(11), prose(304, 77).split(), []
+    for _ in range(members):
+        w = list(base)
+        for k in r.sample(range(0, 300, 5), r.randint(*edits)):
+            w[k] = f"new{r.random()}"
+        texts.append(" ".join(w))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    x, y = np.nonzero([[len(a & b) >= 0.8 * len(a | b) for b in grams] for a in grams])
+    return texts, common.local_roots(members, x, y).tolist()
+
+
+@pytest.mark.parametrize("tile, meet", [(50, 1 << 19), (8192, 1 << 13)])
+def test_similar_at_the_limit(spark, monkeypatch, tile, meet):
+    monkeypatch.setattr(simhash, "MEET", meet, raising=False)
+    texts, want = near_limit(200, (4, 6))
+    assert 1 < len(set(want)) < 200
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {q.doc_id: q.component_id for q in simhash.similar(d, tile=tile).collect()}
+    assert [got[i] for i in range(200)] == want
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
