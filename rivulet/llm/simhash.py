@@ -24,7 +24,7 @@ SHINGLE, RADIUS = 4, 4
 TILE = 8192
 #: Of similar(): bits within which texts of that similarity are found, slots of a MinHash sketch, and how far below the
 #: similarity a sketch may be for the texts to be compared.
-WIDE_RADIUS, SLOTS, SLACK = 12, 64, 0.1
+WIDE_RADIUS, SLOTS, SLACK = 20, 64, 0.15
 #: Its tiles hold sketches too and nearly all pairs of them meet, so fewer and larger ones move less.
 WIDE_TILE = 32768
 #: Shingles of the texts that meet in one task when a group is compared pair by pair, about.
@@ -313,7 +313,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     leaves. Where a pair of it fails, every two texts of the group that similar pairs don't join yet are compared by their
     whole sets too: a group of true copies costs as many comparisons as it has members, others up to all pairs. Texts whose
     fingerprint and sketch are equal count as copies. Texts without words, null ones too, are copies of each other.
-    A pair as similar as asked for is within the radius in about 19 of 20 cases, nearly always from 0.9 on.
+    Of simulated pairs of equally long texts (random hashes, 1500 pairs a case) at 0.80 alike 99.8% were proposed at 300 and
+    at 900 shingles and all at 45; at 0.85 and 0.90 all were.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

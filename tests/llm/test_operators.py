@@ -363,6 +363,18 @@ def test_similar_at_the_limit(spark, monkeypatch, tile, meet):
     assert [got[i] for i in range(200)] == want
 
 
+def test_similar_proposes_pairs_at_the_limit():
+    r, found = np.random.default_rng(2), []
+    for _ in range(400):
+        h = r.integers(0, 1 << 63, 333, dtype=np.uint64)
+        pair = [np.unique(h[:300]), np.unique(np.concatenate([h[:267], h[300:]]))]  # 267 of 333 shared: 0.802
+        bits = (simhash.combined(iter(pair[:1])) ^ simhash.combined(iter(pair[1:]))).bit_count()
+        p, q = (np.frombuffer(simhash.sketch(x), np.uint8) for x in pair)
+        like = ((p == q) & (p > 0)).sum() / ((p > 0) | (q > 0)).sum()
+        found.append(bits <= simhash.WIDE_RADIUS and like >= 0.8 - simhash.SLACK)
+    assert np.mean(found) >= 0.99
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
