@@ -307,7 +307,7 @@ def _rest(groups: DataFrame, parts: DataFrame, grams: DataFrame, similarity: flo
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
     """doc_id, component_id and first of every row, where texts link whose shingle sets are similar (Jaccard).
 
-    Fingerprints within a wide radius propose pairs, MinHash sketches in the same tiles sort out those that can't be
+    Fingerprints of these sets (without repeats) within a wide radius propose pairs, MinHash sketches in the same tiles sort out those that can't be
     similar, and each tile pair returns a forest of the others, the most similar first; its pairs are then compared by
     their whole sets of shingles. A forest reaches what all proposed pairs reach, so what it joins is a group that no link
     leaves. Where a pair of it fails, every two texts of the group that similar pairs don't join yet are compared by their
@@ -322,8 +322,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
             out: list[list] = [[], []]
             for t in b.column("text"):
                 h = list(shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle))
-                out[0].append(combined(iter(h)))
-                out[1].append(sketch(np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)))
+                h = np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)
+                out[0].append(combined(h[i : i + PIECE] for i in range(0, len(h), PIECE)))
+                out[1].append(sketch(h))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary())], ["doc_id", "fp", "sketch"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -375,6 +375,15 @@ def test_similar_proposes_pairs_at_the_limit():
     assert np.mean(found) >= 0.99
 
 
+def test_similar_with_repeats(spark):
+    texts = []
+    for k in range(8):
+        line = f"{prose(12, 400 + k)} "
+        texts += [f"{prose(150, 500 + k)} {line * n}{prose(150, 600 + k)}" for n in (2, 60)]  # the same set of shingles
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {q.doc_id: q.component_id for q in simhash.similar(d).collect()} == {i: i - i % 2 for i in range(16)}
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
