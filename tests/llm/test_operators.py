@@ -384,6 +384,18 @@ def test_similar_with_repeats(spark):
     assert {q.doc_id: q.component_id for q in simhash.similar(d).collect()} == {i: i - i % 2 for i in range(16)}
 
 
+def test_similar_compares_each_different_text(spark):
+    def marks(words):
+        h = np.unique(np.concatenate(list(simhash.shingles(" ".join(words).encode(), 5))))
+        return simhash.combined(iter([h])), simhash.sketch(h)
+
+    y = [f"w{i}" for i in range(904)]  # 900 shingles
+    z = [f"new{i}" if i % 10 == 5 and i < 200 else w for i, w in enumerate(y)]  # 800 of 1000 shared with y, 799 with x
+    x = next(x for k in range(10_000) if marks(x := [*y[:-1], f"end{k}"]) == marks(y))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((x, y, z))], "doc_id long, text string")
+    assert {q.doc_id: q.component_id for q in simhash.similar(d).collect()} == {0: 0, 1: 0, 2: 0}
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
