@@ -157,6 +157,10 @@ SCRIPTS: dict[str, tuple[str, str | None]] = {
 
 SCRIPTS["order_using"] = ("o = ORDER part BY p_name, p_partkey USING ByLength; l = LIMIT o 30; out = FOREACH l GENERATE p_partkey, p_name;", "SELECT p_partkey, p_name FROM part ORDER BY length(p_name), p_name, length(p_partkey::VARCHAR), p_partkey LIMIT 30")
 
+#: Joins without subsets of ids; join_full and join_three_way have those that their SQL has.
+SCRIPTS["join_full_whole"] = ("a = FILTER orders BY o_orderstatus == 'F' AND o_orderpriority == '1-URGENT'; b = FILTER customer BY c_mktsegment == 'BUILDING'; j = JOIN a BY o_custkey FULL, b BY c_custkey; out = FOREACH j GENERATE o_orderkey, c_custkey;", "SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') FULL JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey")
+SCRIPTS["join_three_way_whole"] = ("s2 = FOREACH supplier GENERATE s_suppkey, s_nationkey; j = JOIN nation BY n_nationkey, s2 BY s_nationkey, customer BY c_nationkey; out = FOREACH j GENERATE n_name, s_suppkey, c_custkey;", "SELECT n_name, s_suppkey, c_custkey FROM nation JOIN supplier ON n_nationkey = s_nationkey JOIN customer ON c_nationkey = n_nationkey")
+
 
 def _scale(frames, by="1"):
     for f in frames:

@@ -33,6 +33,13 @@ def test_query(spark, sf, oracle, name):
     assert canonical(df.columns, df.collect()) == canonical(names, cur.fetchall())
 
 
+def test_joins_of_whole_tables(spark, sf, oracle):
+    three, full = (catalog.queries()[name](spark, sf).collect() for name in ("join_three_way_whole", "join_full_whole"))
+    assert {r.c_custkey for r in three} == {r[0] for r in oracle.execute("SELECT c_custkey FROM customer SEMI JOIN supplier ON c_nationkey = s_nationkey").fetchall()}
+    assert {r.o_orderkey for r in full} - {None} == {r[0] for r in oracle.execute("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").fetchall()}
+    assert any(r.o_orderkey is None for r in full) and any(r.c_custkey is None for r in full)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
