@@ -1,4 +1,4 @@
-"""Tumbling, sliding and session windows; the same plan for a batch and a stream."""
+"""Tumbling and sliding windows; the same plan for a batch and a stream."""
 
 from __future__ import annotations
 
