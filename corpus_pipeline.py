@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import language_id, mixing, pieces, simhash, suffix_dedup
-from rivulet.llm.common import shared_dir, table
+from rivulet.llm.common import free, shared_dir, table
 
 #: Documents go whose n-grams are this far from those of every language (1: the same profile, 0: nothing in common).
 LEAST_SCORE = 0.1
@@ -21,14 +21,16 @@ MODEL = "piece_bpe_32k.model"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known: with a letter, and near to some language's profile."""
-    found = language_id.predict(docs.withColumn("doc_id", F.col("doc_id")), language_id.train(docs), extra=["text", "lang", "source", "n_chars"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.predict(docs, language_id.train(docs), whole=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group whose shingles of five words are 0.8 alike or more."""
-    first = simhash.similar(docs).where("first").select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept"))).select(*docs.columns)
+    """Keeps one document, the one with the smallest id, of each group whose shingles of five words are 0.8 alike or more.
+
+    Documents without an id come last in their group; of rows that share an id and differ in text each is a document.
+    """
+    return simhash.one_of_similar(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A cut inside a character's bytes drops the rest of that character. n_chars becomes the length of the new text.
     """
-    return suffix_dedup.cut_text(docs).where((F.length("text") > 0) | (F.col("n_cut") == 0)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = free("n_cut", docs.columns)
+    left = suffix_dedup.cut_text(docs).where((F.length("text") > 0) | (F.col(cut) == 0) | F.col("text").isNull())
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +50,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text: the columns of docs, ids, n_tokens, and whether decoding gives the text back."""
-    path = public_tokenizers.path(MODEL)
-    return pieces.encode(docs, path, check=True).withColumn("n_tokens", F.size("ids"))
+    ids = free("ids", docs.columns)
+    return pieces.encode(docs, public_tokenizers.path(MODEL), check=True).withColumn(free("n_tokens", docs.columns), F.size(ids))
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("mixture", mixture), ("encoded", encoded)]

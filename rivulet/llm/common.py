@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -32,6 +35,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """A column's name that isn't taken: name, or name with as many underscores behind it as that needs."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that have one (maps don't), to order rows by that are equal in what counts."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -48,6 +63,17 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, as few at a time that the texts of column have size bytes in sum, about, or are one text."""
+    for b in batches:
+        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths) // size
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 1) -> Iterator[pa.Table]:
     """Tables of whole key groups from batches that are sorted by key; each has at_least rows, but for the last."""
     held: list[pa.RecordBatch] = []
@@ -89,26 +115,22 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
     return label
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node that has a link, by alternating large-star and small-star steps.
 
     edges: two long columns a and b, in any order, repeated or not; loops and nulls are ignored. Returns node and
     root, one row for each node in a link. Every step is a grouped minimum and a join; nothing is collected but a
-    count and a checksum of the links, which show when they no longer change.
+    count and a checksum of the links, which show when they no longer change. The steps end for every graph, after a
+    number of them that grows with the logarithm of its size.
     """
     e = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
-        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(mark) == seen or not mark[0]:
-            break
-        seen = tuple(mark)
+    while (mark := tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) != seen and mark[0]:
+        seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(star.unionByName(least.withColumnRenamed("m", "v")).distinct())
-    else:
-        raise RuntimeError(f"links still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -98,13 +98,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return out
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_id", text: str = "text", size: int = PROFILE, extra: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_id", text: str = "text", size: int = PROFILE, whole: bool = False) -> DataFrame:
     """doc_id, lang_pred and score (1 less the distance as a share of the greatest possible) of every row.
 
-    A null text, one without a letter, and any text where no profile was learned give `und` and 0. extra names columns
-    of docs that go along unchanged; other columns don't.
+    A null text, one without a letter, and any text where no profile was learned give `und` and 0. Repeated rows are rows
+    of their own; equal texts get equal predictions. A text of any length is counted PIECE code points at a time. whole adds
+    row, a struct of all columns of docs, whatever their names; without it other columns have no part in it.
     """
-    extra = [x for x in extra or [] if x != doc_id]
     langs = sorted(profiles)
     known = np.unique(np.concatenate([np.array(profiles[x], np.uint64) for x in langs])) if langs else np.zeros(0, np.uint64)
     ranks = np.full((len(known) + 1, max(1, len(langs))), -1, np.int32)  # the last row: an n-gram that no language has
@@ -125,14 +125,12 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(t.as_py()) for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *map(b.column, extra)], ["doc_id", "lang_pred", "score", *extra])
+            found = [one(t.as_py()) for t in (b.column("row").field(text) if whole else b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *([b.column("row")] if whole else [])], ["doc_id", "lang_pred", "score", *(["row"] if whole else [])])
 
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), *extra)
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row") if whole else F.col(text).alias("text"))
     schema = T._parse_datatype_string(SCHEMA)
-    for x in extra:
-        schema = schema.add(d.schema[x])
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema.add(d.schema["row"]) if whole else schema)
 
 
 def held_out(doc_id) -> F.Column:

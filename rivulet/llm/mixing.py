@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import checkpoint
+from rivulet.llm.common import checkpoint, free, row_hash, shuffle_partitions
 
 #: Blocks of a source: 16 to the power of the hex digits of a hash that name one.
 BLOCK_DIGITS = 3
@@ -36,6 +36,12 @@ def _mark(*columns) -> F.Column:
     return F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)).cast("binary"))
 
 
+def _text_mark(doc_id, source, text) -> F.Column:
+    """What rows that are equal in id, source and text, and no others, have in common."""
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit("|"), c.cast("string")), F.lit("-")) for c in (doc_id, source, text)]
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """source, source_size, rank and target of each row (source, source_size): one row a source.
 
@@ -111,15 +117,17 @@ def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return each.groupBy((F.col("at") + 1).cast("long").alias("rank")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "n"))), lambda x: x.n).alias("dealt"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, shards: int = SHARDS, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, shards: int = SHARDS, seed: int = 1, marked: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and shards of every row.
 
     shards lists the output shard of each time that the mix takes the document; taken is its size times their number.
     Empty and null texts have size 0 and count for nothing; a null source is a source, a null id an id like any other.
-    Rows with the same id and source share a block and are taken as often as their place in it says.
+    Rows with the same id and source share a block and are taken as often as their place in it says. Other columns of
+    docs have no part in it, but that marked adds mark, which rows equal in id, source and text have in common.
     """
+    mark = [_text_mark(F.col(doc_id).cast("long"), F.col(source), F.col(text)).alias("mark")] if marked else []
     key = lambda *c: _mark(F.lit(str(seed)), *c)
-    sized = checkpoint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")).withColumn("block", _hex(key(F.col("doc_id")), BLOCK_DIGITS)))
+    sized = checkpoint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), *mark).withColumn("block", _hex(key(F.col("doc_id")), BLOCK_DIGITS)))
     blocks = checkpoint(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size")))
     goal = targets(blocks.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, cap)
     goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -136,25 +144,36 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     dealt = split(b.groupBy("rank").agg(F.sum("takes").alias("quota")), shards, seed)
     ends = dealt.withColumn("ends", F.transform("dealt", lambda x, i: F.aggregate(F.slice("dealt", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y)))
     b = b.join(ends.select("rank", "ends"), "rank").withColumn("to", F.transform("at", lambda x: F.size(F.filter("ends", lambda e: e <= x))))
-    inside = Window.partitionBy("source", "block").orderBy(key(F.col("doc_id")), "doc_id", "size")
+    inside = Window.partitionBy("source", "block").orderBy(key(F.col("doc_id")), "doc_id", "size", *(["mark"] if marked else []))
     d = sized.withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     b = b.select(F.col("source").alias("s"), F.col("block").alias("k"), "source_size", "target", "passes", "room", "whole", "part", "to")
     d = d.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
     last = F.col("whole") | (F.col("part") & (F.col("before") + F.col("size") / 2 <= F.col("room")))
     d = d.withColumn("shards", F.slice("to", F.lit(1), (F.col("passes") + last.cast("long")).cast("int")))
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", *(["mark"] if marked else []))
 
 
 def shuffled(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", shards: int = SHARDS, seed: int = 1, **how) -> DataFrame:
     """The mix itself: all columns of docs and shard, a row for each time that a document is taken.
 
-    A shard is written by one task and ordered by a hash of the documents' ids and passes. Documents are matched with
-    what mix() says of them by id and source; rows that repeat both are taken as often as the one that is taken most.
+    Rows meet what mix() says of them by id, source and text. Rows that are equal in all three are told apart by their
+    number among them: all of them are in one block, so they are taken equally often but for the last pass, which takes
+    some of them. A column of docs that is named shard stays, and the new one is shard_. A shard is ordered by a hash of
+    the ids and passes, and is written by as many tasks, each with a range of that order, as there are shuffle partitions
+    to a shard.
     """
-    d = mix(docs, doc_id, source, text, shards=shards, seed=seed, **how).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max_by("shards", F.size("shards")).alias("_shards"))
-    d = docs.join(d, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")))
-    d = d.select(*docs.columns, F.posexplode("_shards").alias("_pass", "shard"))
-    return d.repartition(shards, "shard").sortWithinPartitions("shard", _mark(F.lit(f"order {seed}"), F.col(doc_id), F.col("_pass"))).drop("_pass")
+    often = F.size("shards")
+    d = mix(docs, doc_id, source, text, shards=shards, seed=seed, marked=True, **how)
+    d = d.groupBy(F.col("mark").alias("of")).agg(F.max_by("shards", often).alias("most"), F.min(often).alias("least"), F.max(often).alias("top"), F.count("*").alias("rows"), F.sum(often).alias("times"))
+    d = d.withColumn("last", F.when(F.col("top") > F.col("least"), F.col("times") - F.col("rows") * F.col("least")).otherwise(F.col("rows")))  # rows that are taken top times
+    rows = docs.select(_text_mark(F.col(doc_id).cast("long"), F.col(source), F.col(text)).alias("mark"), F.struct(*docs.columns).alias("row"), row_hash(docs).alias("hash"))
+    rows = rows.join(d, F.col("mark") == F.col("of")).withColumn("k", F.row_number().over(Window.partitionBy("mark").orderBy("hash")))
+    rows = rows.select("mark", "row", "k", F.posexplode(F.slice("most", F.lit(1), F.when(F.col("k") <= F.col("last"), F.col("top")).otherwise(F.col("least")))).alias("turn", "shard"))
+    tasks = max(1, -(-shuffle_partitions(docs.sparkSession) // shards))
+    rows = rows.withColumn("order", _mark(F.lit(f"order {seed}"), F.col("mark"), F.col("k"), F.col("turn")))
+    place = F.col("shard") * tasks + F.floor(_hex(F.col("order"), 8) * tasks / 16**8).cast("int")
+    rows = rows.repartitionById(shards * tasks, place.cast("int")).sortWithinPartitions("shard", "order")
+    return rows.select("row.*", F.col("shard").alias(free("shard", docs.columns)))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

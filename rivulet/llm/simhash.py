@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import checkpoint, components, local_roots, shuffle_partitions, whole_groups
+from rivulet.llm.common import checkpoint, components, local_roots, row_hash, shuffle_partitions, whole_groups
 
 #: Words of a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, RADIUS = 4, 4
@@ -114,7 +114,7 @@ def _sketched(similarity: float):
 
     def forest(a: pa.Array, b: pa.Array | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
         both = a if b is None else pa.concat_arrays([a, b])
-        fp, node = both.field("fp").to_numpy().view(np.uint64), both.field("least").to_numpy()
+        fp, node = both.field("fp").to_numpy().view(np.uint64), both.field("node").to_numpy()
         marks = np.frombuffer(b"".join(both.field("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
         n, shift = len(a), 0 if b is None else len(a)
         found: list[list[np.ndarray]] = [[], [], []]
@@ -269,12 +269,13 @@ def _linked(grams: list[np.ndarray], part: np.ndarray, split: int, similarity: f
 def _rest(groups: DataFrame, parts: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """a and b: links between the parts of each group of proposed pairs that join what all similar pairs in it join.
 
-    groups and parts: node and root over proposed and over similar pairs. A group of one part is done. The others are cut
-    into tiles of MEET shingles; all pairs of tiles meet, but for those of which both hold only the group's largest part.
+    groups and parts: node and root over proposed and over similar pairs; grams: node and its set of shingles. A group of
+    one part is done. The others are cut into tiles of MEET shingles; all pairs of tiles meet, but for those of which both
+    hold only the group's largest part.
     """
     n = shuffle_partitions(grams.sparkSession)
     m = groups.select("node", F.col("root").alias("grp")).join(parts.select(F.col("node").alias("n2"), F.col("root").alias("part")), F.col("node") == F.col("n2"), "left")
-    m = m.select("node", "grp", F.coalesce("part", "node").alias("part")).join(grams.select(F.col("doc_id").alias("node"), F.size("grams").alias("size")), "node")
+    m = m.select("node", "grp", F.coalesce("part", "node").alias("part")).join(grams.select("node", F.size("grams").alias("size")), "node")
     m = checkpoint(m)
     each = m.groupBy("grp", "part").agg(F.sum("size").alias("size"))
     todo = each.groupBy("grp").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "part")).alias("top")).where("parts > 1")
@@ -284,7 +285,7 @@ def _rest(groups: DataFrame, parts: DataFrame, grams: DataFrame, similarity: flo
     d = d.withColumn("own", F.when(F.col("is_main"), F.expr("pmod(h, k)")).otherwise(F.expr("k + pmod(h, j)")))
     d = d.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("k")).otherwise(F.lit(0)), F.expr("k + j - 1"))))
     d = d.select("node", "part", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("alone"), F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    d = d.join(grams, F.col("node") == F.col("doc_id")).select("key", "node", "part", "first", "alone", "grams")
+    d = d.join(grams, "node").select("key", "node", "part", "first", "alone", "grams")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key"):
@@ -304,55 +305,91 @@ def _rest(groups: DataFrame, parts: DataFrame, grams: DataFrame, similarity: flo
     return d.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
-    """doc_id, component_id and first of every row, where texts link whose shingle sets are similar (Jaccard).
+def _mark(doc_id: str, text: str) -> F.Column:
+    """What rows that are equal in id and text, and no others, have in common."""
+    whole = F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")), F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(F.col(text), F.lit("")))
+    return F.md5(whole.cast("binary"))
 
-    Fingerprints of these sets (without repeats) within a wide radius propose pairs, MinHash sketches in the same tiles sort out those that can't be
-    similar, and each tile pair returns a forest of the others, the most similar first; its pairs are then compared by
-    their whole sets of shingles. A forest reaches what all proposed pairs reach, so what it joins is a group that no link
-    leaves. Where a pair of it fails, every two texts of the group that similar pairs don't join yet are compared by their
-    whole sets too: a group of true copies costs as many comparisons as it has members, others up to all pairs. Texts
-    whose sets are equal are copies, one node of the graph. Texts without words, null ones too, are copies of each other.
-    Of simulated pairs of equally long texts (random hashes, 1500 pairs a case) at 0.80 alike 99.8% were proposed at 300 and
-    at 900 shingles and all at 45; at 0.85 and 0.90 all were.
+
+def _set_of(text: pa.Scalar, shingle: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, sorted."""
+    h = list(shingles(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle))
+    return np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)
+
+
+def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, mark and digest of its set of shingles; and every set's digest, root and first row.
+
+    The nodes of the graph are the sets, numbered for it, so whatever rows share (an id, a text, or neither of them being
+    there) has no part in what links. first: whether the doc_id is null, the doc_id, and the mark, of the least of a set's rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], []]
             for t in b.column("text"):
-                h = list(shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle))
-                h = np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)
+                h = _set_of(t, shingle)
                 out[0].append(combined(h[i : i + PIECE] for i in range(0, len(h), PIECE)))
                 out[1].append(sketch(h))
                 out[2].append(xxhash.xxh3_128_digest(h.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["doc_id", "fp", "sketch", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["doc_id", "mark", "fp", "sketch", "digest"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [np.unique(np.concatenate(h)) if (h := list(shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle))) else np.zeros(0, np.uint64) for t in b.column("text")]
+            each = [_set_of(t, shingle) for t in b.column("text")]
             ends = np.cumsum([0, *map(len, each)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)))
-            digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in each], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), digests, lists], ["doc_id", "digest", "grams"])
-
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    d = checkpoint(plain.mapInArrow(run, "doc_id long, fp long, sketch binary, digest binary"))
-    nodes = checkpoint(d.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    known = nodes.where("least IS NOT NULL").withColumn("item", F.struct("fp", "least", "sketch"))
-    pairs = checkpoint(links(known, radius, tile, _sketched(similarity), "item").distinct())
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # of rows that repeat a doc_id the node's own text
-    grams = plain.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, digest binary, grams array<long>").join(nodes.select("digest", F.col("least").alias("doc_id")), ["doc_id", "digest"])
-    grams = checkpoint(grams.groupBy("digest").agg(F.first("doc_id").alias("doc_id"), F.first("grams").alias("grams")).drop("digest"))
-    left, right = (grams.select(F.col("doc_id").alias(c), F.col("grams").alias(f"of_{c}")) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([b.column("node"), lists], ["node", "grams"])
+
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _mark(doc_id, text).alias("mark"), F.col(text).cast("binary").alias("text"))
+    d = checkpoint(plain.mapInArrow(run, "doc_id long, mark string, fp long, sketch binary, digest binary"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "mark"))
+    nodes = checkpoint(d.groupBy("digest").agg(least.alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+    pairs = checkpoint(links(nodes.withColumn("item", F.struct("fp", "node", "sketch")), radius, tile, _sketched(similarity), "item").distinct())
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    of = ends.join(nodes, "node").select("node", F.col("first.mark").alias("of"))
+    grams = plain.select("mark", "text").join(of, F.col("mark") == F.col("of")).select("node", "text").mapInArrow(sets, "node long, grams array<long>")
+    grams = checkpoint(grams.groupBy("node").agg(F.first("grams").alias("grams")))  # a row that is there twice is one set
+    left, right = (grams.select(F.col("node").alias(c), F.col("grams").alias(f"of_{c}")) for c in ("a", "b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    near = pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-    near = checkpoint(near)
-    root = components(near.unionByName(_rest(components(pairs), components(near), grams, similarity)))
-    named = checkpoint(nodes.join(root, F.col("least") == F.col("node"), "left").select(F.col("digest").alias("set"), F.coalesce("root", "least").alias("component_id")))
+    near = checkpoint(pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
+    root = components(near.unionByName(_rest(components(pairs), components(near), grams, similarity))).withColumnRenamed("node", "n2")
+    return d, checkpoint(nodes.join(root, F.col("node") == F.col("n2"), "left").select("digest", "first", F.coalesce("root", "node").alias("root")))
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
+    """doc_id, component_id (its smallest doc_id) and first of every row, where texts link whose shingle sets are similar (Jaccard).
+
+    Fingerprints of these sets (without repeats) within a wide radius propose pairs, MinHash sketches in the same tiles sort out those that can't be
+    similar, and each tile pair returns a forest of the others, the most similar first; its pairs are then compared by
+    their whole sets of shingles. A forest reaches what all proposed pairs reach, so what it joins is a group that no link
+    leaves. Where a pair of it fails, every two texts of the group that similar pairs don't join yet are compared by their
+    whole sets too: a group of true copies costs as many comparisons as it has members, others up to all pairs. Texts
+    whose sets are equal are copies, one node of the graph. Texts without words, null ones too, are copies of each other.
+    Of simulated pairs of equally long texts (random hashes, 1500 pairs a case) at 0.80 alike 99.8% were proposed at 300 and
+    at 900 shingles and all at 45; at 0.85 and 0.90 all were.
+
+    first marks the row of each component that comes first: by doc_id, null last, then by a hash of id and text; rows that
+    are equal in both are marked together. Rows may share an id, or have none: they link by their texts alone. A text of any
+    length is one set of hashes in a task, eight bytes a word. Other columns of docs have no part in it.
+    """
+    d, nodes = _similar(docs, doc_id, text, shingle, similarity, radius, tile)
+    least = nodes.groupBy("root").agg(F.min("first").alias("least"))
+    named = checkpoint(nodes.join(least, "root").select(F.col("digest").alias("set"), F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("kept")))
     out = d.join(named, F.col("digest") == F.col("set"))
-    return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
+    return out.select("doc_id", "component_id", (F.col("mark") == F.col("kept")).alias("first"))
+
+
+def one_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
+    """All columns of docs, and one row of each component of similar(): the first.
+
+    Of rows that are equal in id and text one stays, the one with the least hash of its columns. What a task holds of a
+    component is a minimum, however many rows it has.
+    """
+    _, nodes = _similar(docs, doc_id, text, shingle, similarity, radius, tile)
+    kept = nodes.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.mark").alias("of"))
+    rows = docs.select(_mark(doc_id, text).alias("mark"), F.struct(*docs.columns).alias("row"), row_hash(docs).alias("order"))
+    return rows.join(kept, F.col("mark") == F.col("of")).groupBy("mark").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import shuffle_partitions, utf8_parts, whole_groups
+from rivulet.llm.common import free, shuffle_partitions, utf8_parts, whole_groups
 
 WIDTH, GRAM = 100, 32
 #: Occurrences of an anchor beyond which its strings are dealt out one by one.
@@ -355,17 +355,20 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
 
 def cut_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """All columns of docs, with the text that stays, and n_cut, the bytes that went. Parts of cut characters go too; a null text stays null."""
-    names = docs.columns
+    """All columns of docs, with the text that stays, and n_cut, the bytes that went. Parts of cut characters go too; a null text stays null.
+
+    Where docs has a column n_cut already, the new one is n_cut_.
+    """
+    names, n_cut = docs.columns, free("n_cut", docs.columns)
 
     def make(t: pa.Table, each: Iterator[tuple]) -> pa.Table:
         rest = t.column("rest").combine_chunks()
         rows = [(_kept(w, s, e).decode("utf-8", "ignore"), int((e - s).sum())) for w, s, e in each]
         new = pa.array([None if v else r[0] for r, v in zip(rows, rest.field(0).to_pylist(), strict=True)], pa.string())
         at = {k: i + 1 for i, k in enumerate(k for k in names if k != text)}
-        return pa.table({k: new if k == text else rest.field(at[k]) for k in names} | {"n_cut": pa.array([r[1] for r in rows], pa.int64())})
+        return pa.table({k: new if k == text else rest.field(at[k]) for k in names} | {n_cut: pa.array([r[1] for r in rows], pa.int64())})
 
-    return _cut(docs, doc_id, text, T.StructType([*docs.schema.fields, T.StructField("n_cut", T.LongType())]), make, width, gram, hot)
+    return _cut(docs, doc_id, text, T.StructType([*docs.schema.fields, T.StructField(n_cut, T.LongType())]), make, width, gram, hot)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

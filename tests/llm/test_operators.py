@@ -218,6 +218,35 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def all_links(v):
+    m = np.array(v, np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    return (m @ m.T >= 0.95) & ~np.eye(len(m), dtype=bool)
+
+
+def test_embeddings_of_other_lengths_and_shared_ids(spark):
+    r = np.random.default_rng(4)
+    short = (np.ones((20, 8)) + 0.01 * r.standard_normal((20, 8))).tolist()
+    long = [[1.0] * 9, [1.0] * 8 + [1.01]]
+    data = [(i, v, "a") for i, v in enumerate(short + long)] + [(3, short[3], "b"), (3, (-np.array(short[0])).tolist(), "c"), (None, short[5], "d"), (None, None, "e")]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>, n_links string")
+    got = embedding_dedup.near_duplicates(d).collect()
+    want = [(i, 21, 0, not i) for i in range(20)] + [(20, 1, 20, True), (21, 1, 20, False), (3, 21, 0, False), (3, 0, 3, True), (None, 21, 0, False), (None, 0, None, True)]
+    assert by_key(got) == by_key(want)
+
+
+def test_embedding_recall(spark):
+    """Against all pairs, of links whose cosine lies just above the limit as well."""
+    r = np.random.default_rng(6)
+    base = r.standard_normal((700, 64))
+    v = np.concatenate([base, *(base[:150] + e * r.standard_normal((150, 64)) for e in (0.05, 0.2, 0.3, 0.32))]).astype(np.float32)
+    links = all_links(v)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(d).collect()}
+    assert all(got[i] <= links[i].sum() for i in got)
+    assert sum(got.values()) >= 0.95 * links.sum()
+
+
 def test_embedding_tiles(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 7)  # every filter of the cluster is cut; the plan has the number
     r = np.random.default_rng(2)
