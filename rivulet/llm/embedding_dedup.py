@@ -11,20 +11,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import checkpoint, components, shuffle_partitions, whole_groups
+from rivulet.llm.common import checkpoint, components, local_roots, shuffle_partitions, whole_groups
 
 COSINE = 0.95
 BLOCKS = 2
 #: Vectors that a filter is expected to hold, unless a cluster lies in its cap.
 POPULATION = 64
 #: Filters that a linked pair at the least cosine is expected to share: all but exp(-SHARED) of such pairs are found.
-SHARED = 7.0
+SHARED = 10.0
 #: Rows of a filter that meet in one task; a filter with more is cut into tiles, and every pair of its tiles meets.
 TILE = 2048
 
@@ -77,120 +80,179 @@ class Code:
         return rows, code
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a list column as unit vectors, and which of them can link: dim finite numbers, not all zero."""
-    out = np.zeros((len(column), dim))
-    fit = np.zeros(len(column), bool)
-    for i, x in enumerate(column.to_pylist() if column.null_count or column.flatten().null_count else column):
-        x = None if x is None else np.array(x if isinstance(x, list) else x.values.to_numpy(), np.float64)
-        if x is not None and len(x) == dim and np.isfinite(x).all():
-            top = np.abs(x).max(initial=0)
-            if top > 0:
-                out[i], fit[i] = x / top, True
-    out[fit] /= np.linalg.norm(out[fit], axis=1, keepdims=True)
-    return out, fit
+@lru_cache(8)
+def _code(dim: int, n: int, cosine: float, seed: int) -> Code:
+    return Code(dim, n, cosine, seed)
 
 
-def _pairs(v: np.ndarray, ids: np.ndarray, filters: list, here: int, cosine: float, split: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs among the rows (split 0) or between the first split rows and the others, each only at the smallest filter that both are in."""
+def _blobs(column: pa.Array, kind: str) -> list[bytes | None]:
+    """The numbers of each row as bytes, -0.0 as 0.0; None for rows that can't link: null, empty, zero, or with a number that isn't finite."""
+    values = column.flatten().cast(pa.float32() if kind == "<f4" else pa.float64())
+    x = values.fill_null(np.nan).to_numpy(zero_copy_only=False) + np.array(0.0, kind)
+    size = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    bad, some = (np.concatenate([[0], np.cumsum(m)]) for m in (~np.isfinite(x), x != 0))
+    fit = (bad[ends] == bad[ends - size]) & (some[ends] > some[ends - size])
+    raw, width = x.astype(kind).tobytes(), np.dtype(kind).itemsize
+    return [raw[(e - s) * width : e * width] if f else None for f, s, e in zip(fit.tolist(), size.tolist(), ends.tolist(), strict=True)]
+
+
+def _units(blobs: pa.Array, kind: str) -> np.ndarray:
+    """Unit vectors, in double precision, of blobs of one length."""
+    v = np.frombuffer(b"".join(blobs.to_pylist()), kind).reshape(len(blobs), -1).astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+class _Met:
+    """Whether two rows of a task share a filter below the one where they meet: then they are counted there."""
+
+    def __init__(self, filters: list[np.ndarray], here: int):
+        codes, at, n = np.unique(np.concatenate(filters), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(filters)), [len(f) for f in filters])
+        useful = np.flatnonzero((codes < here) & (n > 1))
+        useful = useful[np.argsort(-n[useful], kind="stable")]  # those of many rows tell most pairs apart at once
+        self.blocks = []
+        for i in range(0, len(useful), 2048):
+            place = np.full(len(codes), -1)
+            place[useful[i : i + 2048]] = np.arange(len(useful[i : i + 2048]))
+            hit = np.flatnonzero(place[at] >= 0)
+            has = np.zeros((len(filters), 2048), bool)
+            has[rows[hit], place[at[hit]]] = True
+            self.blocks.append(np.packbits(has, axis=1).view(np.uint64))
+
+    def new(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for has in self.blocks:
+            keep = [~(has[x[i : i + 50_000]] & has[y[i : i + 50_000]]).any(1) for i in range(0, len(x), 50_000)]
+            if keep:
+                x, y = x[keep := np.concatenate(keep)], y[keep]
+        return x, y
+
+
+def _linked(v: np.ndarray, n: np.ndarray, filters: list, here: int, cosine: float, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with links, how many vectors (n of each row) they link with, and the first row that each reaches.
+
+    Links are among all rows (split 0) or between the first split rows and the others; each only at the smallest filter
+    that both rows are in.
+    """
     a, b = (v, v) if not split else (v[:split], v[split:])
-    left, right = [], []
-    for i in range(0, len(a), 1024):
-        x, y = np.nonzero(a[i : i + 1024] @ b.T >= cosine)
-        x += i
-        y += split
+    far, label, met = np.zeros(len(v), np.int64), np.arange(len(v)), None
+    for i in range(0, len(a), 512):
+        x, y = np.nonzero(a[i : i + 512] @ b.T >= cosine)
+        x, y = x + i, y + split
         if not split:
             x, y = x[x < y], y[x < y]
-        left.append(x)
-        right.append(y)
-    x, y = np.concatenate(left), np.concatenate(right)
-    if len(x):
-        codes, at = np.unique(np.concatenate(filters), return_inverse=True)
-        has = np.zeros((len(v), int(np.searchsorted(codes, here))), bool)  # only filters below this one matter
-        rows = np.repeat(np.arange(len(v)), [len(f) for f in filters])
-        below = at < has.shape[1]
-        has[rows[below], at[below]] = True
-        packed = np.packbits(has, axis=1) if has.shape[1] else np.zeros((len(v), 1), np.uint8)
-        keep = np.concatenate([~(packed[x[i : i + 100_000]] & packed[y[i : i + 100_000]]).any(1) for i in range(0, len(x), 100_000)])
-        x, y = x[keep], y[keep]
-    return ids[x], ids[y]
-
-
-def links(vectors: DataFrame, cosine: float = COSINE, seed: int = 5) -> DataFrame:
-    """a and b: the pairs of rep (column of distinct ids) whose vector columns have at least this cosine, each once."""
-    head = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    spark = vectors.sparkSession
-    if not head.n or head.dim < 1:
-        return spark.createDataFrame([], "a long, b long")
-    code, dim, n = Code(head.dim, head.n, cosine, seed), head.dim, shuffle_partitions(spark)
+        if not len(x):
+            continue
+        met = met or _Met(filters, here)
+        x, y = met.new(x, y)
+        np.add.at(far, x, n[y])
+        np.add.at(far, y, n[x])
+        label = local_roots(len(v), x, y, label)
+    rows = np.flatnonzero(far)
+    return rows, far[rows], label[rows]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def links(nodes: DataFrame, kind: str, cosine: float = COSINE, seed: int = 5) -> DataFrame:
+    """node, far and root: of vectors that have links with a task's others how many, and one that they reach there.
+
+    nodes: node, blob (numbers of numpy's type kind) and n, the number of vectors that are equal to it. A vector has a row
+    for each task where it has links; far adds up to the vectors that it links with, each of which is counted once, and
+    the pairs (node, root) join what links join. Vectors of different lengths never meet.
+    """
+    spark, width = nodes.sparkSession, np.dtype(kind).itemsize
+    nodes = nodes.withColumn("dim", (F.length("blob") / width).cast("int"))
+    sizes = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).where("n > 1").collect()}  # a row a length
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Parts of batches, each with the rows of it and the filters that they are in, by row and filter."""
         for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                v, fit = _matrix(part.column("vector"), dim)
-                rows, f = code.decode(v)
-                rows, f = rows[fit[rows]], f[fit[rows]]
-                order = np.lexsort((f, rows))
-                rows, f = rows[order], f[order]
-                ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f))
-                yield pa.RecordBatch.from_arrays([pa.array(f), part.column("rep").take(pa.array(rows)), part.column("vector").take(pa.array(rows)), lists.take(pa.array(rows))], ["filter", "rep", "vector", "filters"])
-
-    dealt = vectors.select("rep", "vector").mapInArrow(deal, "filter long, rep long, vector array<double>, filters array<long>")
-    big = checkpoint(vectors.select("rep", "vector").mapInArrow(lambda bs: (b.select(["filter"]) for b in deal(bs)), "filter long").groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+            for dim in pa.compute.unique(b.column("dim")).to_pylist():
+                if dim not in sizes:
+                    continue
+                same = b.filter(pa.compute.equal(b.column("dim"), dim))
+                code = _code(dim, sizes[dim], cosine, seed)
+                for i in range(0, same.num_rows, 4096):
+                    part = same.slice(i, 4096)
+                    rows, f = code.decode(_units(part.column("blob"), kind))
+                    order = np.lexsort((f, rows))
+                    yield part, rows[order], f[order], dim
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, f, dim in decoded(batches):
+            f, n = np.unique(f, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim] * len(f), pa.int32()), "filter": f, "n": n.astype(np.int64)})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows, f, dim in decoded(batches):
+            ends, raw = np.searchsorted(rows, np.arange(part.num_rows + 1)) * 8, f.tobytes()
+            lists = pa.array([raw[i:j] for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([dim] * len(f), pa.int32()), pa.array(f), *(part.column(c).take(at) for c in ("node", "n", "blob")), lists.take(at)], ["dim", "filter", "node", "n", "blob", "filters"])
+
+    big = checkpoint(nodes.select("dim", "blob").mapInArrow(count, "dim int, filter long, n long").groupBy("dim", "filter").agg(F.sum("n").alias("all")).where(F.col("all") > TILE))
     # a filter beyond TILE rows is cut into tiles; a row goes to each pair of tiles that its own is in
-    dealt = dealt.join(big, "filter", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("filter", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"), (F.col("own") <= F.col("other")).alias("first"), "rep", "vector", "filters").withColumn("key", F.xxhash64("filter", "l", "r"))
+    d = nodes.select("dim", "node", "n", "blob").mapInArrow(deal, "dim int, filter long, node long, n long, blob binary, filters binary").join(big, ["dim", "filter"], "left")
+    d = d.withColumn("tiles", F.coalesce(F.ceil(F.col("all") / TILE), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    d = d.select("dim", "filter", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"), (F.col("own") <= F.col("other")).alias("first"), "node", "n", "blob", "filters").withColumn("key", F.xxhash64("dim", "filter", "l", "r"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "dim", "filter", "l", "r")
         for t in whole_groups(batches, "key"):
             t = t.combine_chunks()
-            key = t.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            v = t.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            v = v / np.abs(v).max(1, keepdims=True)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            ids, first = t.column("rep").to_numpy(), t.column("first").to_numpy(zero_copy_only=False)
-            lists = t.column("filters").combine_chunks()
-            flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
-            here, l, r = (t.column(c).to_numpy() for c in ("filter", "l", "r"))  # noqa: E741
+            by = [t.column(c).to_numpy() for c in names]
+            new = np.any([c[1:] != c[:-1] for c in by], axis=0)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), t.num_rows]
+            node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
+            first = t.column("first").to_numpy(zero_copy_only=False)
+            out: list[list[np.ndarray]] = [[], [], []]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 order = i + np.argsort(~first[i:j], kind="stable")
-                split = 0 if l[i] == r[i] else int(first[i:j].sum())
-                if j - i > 1 and (l[i] == r[i] or 0 < split < j - i):
-                    a, b = _pairs(v[order], ids[order], [flat[off[k] : off[k + 1]] for k in order], int(here[i]), cosine, split)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                split = 0 if by[3][i] == by[4][i] else int(first[i:j].sum())
+                if j - i < 2 or by[3][i] != by[4][i] and not 0 < split < j - i:
+                    continue
+                at = pa.array(order)
+                v = _units(t.column("blob").take(at), kind)
+                filters = [np.frombuffer(x, np.int64) for x in t.column("filters").take(at).to_pylist()]
+                rows, far, root = _linked(v, n[order], filters, int(by[2][i]), cosine, split)
+                for to, x in zip(out, (node[order[rows]], far, node[order[root]]), strict=True):
+                    to.append(x)
+            if sum(map(len, out[0])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["node", "far", "root"])
 
-    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    return d.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "dim", "filter", "l", "r").mapInArrow(meet, "node long, far long, root long")
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Equal vectors are one node with as many rows as it has: they link with each other and count for each link of the
-    node. A vector that is null, empty, zero, or holds null or non-finite numbers links with nothing, as does one whose
-    length isn't the greatest in the table. vec_id names a row; rows that repeat one vec_id are rows like any other.
+    node. A vector that is null, empty, zero, or holds null or non-finite numbers links with nothing; vectors of different
+    lengths don't link with each other. Rows that share a vec_id, or have none, are rows like any other; component_id is null only if no row of
+    the component has an id. Other columns have no part in it. An array of floats is moved as floats, any other as doubles; cosines are of
+    doubles either way. No row stands for a pair of vectors: a task adds up links and returns a forest of them.
     """
-    d = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fit = F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0)
-    plain = F.transform("vector", lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
-    d = d.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("key", F.when(F.col("fit"), F.sha2(F.to_json(F.struct(plain)), 256)))
-    nodes = checkpoint(d.where("fit").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector")).where("rep IS NOT NULL"))
-    pairs = checkpoint(links(nodes.select("rep", "vector"), cosine, seed))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = nodes.select("rep", "n")
-    degree = both.join(sizes, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("n").alias("far"))
-    root = components(pairs)
-    nodes = sizes.join(degree, F.col("rep") == F.col("a"), "left").join(root, F.col("rep") == F.col("node"), "left")
-    nodes = checkpoint(nodes.select("rep", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("root")))
-    keyed = checkpoint(d.select("vec_id", "key"))
-    reps = checkpoint(d.where("fit").groupBy("key").agg(F.min("vec_id").alias("rep")).where("rep IS NOT NULL").join(nodes, "rep").select(F.col("key").alias("k"), "links", "root"))
-    out = keyed.join(reps, F.col("key") == F.col("k"), "left")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    kind = "<f4" if rows.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs = _blobs(b.column("vector"), kind)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([None if x is None else xxhash.xxh3_128_digest(x) for x in blobs], pa.binary()), pa.array(blobs, pa.binary())], ["vec_id", "digest", "blob"])
+
+    d = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("vector"))
+    d = d.mapInArrow(read, "vec_id long, digest binary, blob binary")
+    nodes = d.where("digest IS NOT NULL").groupBy("digest", "blob").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = checkpoint(links(nodes.select("node", "n", "blob"), kind, cosine, seed))
+    far = found.groupBy("node").agg(F.sum("far").alias("far")).withColumnRenamed("node", "n1")
+    root = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "n2")
+    named = nodes.drop("blob").join(far, F.col("node") == F.col("n1"), "left").join(root, F.col("node") == F.col("n2"), "left")
+    named = checkpoint(named.select(F.col("digest").alias("of"), "least", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    out = d.select("vec_id", "digest").join(named.join(least, "root").select("of", "links", "component"), F.col("digest") == F.col("of"), "left")
+    component = F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
