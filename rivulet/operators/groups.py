@@ -17,6 +17,14 @@ def bags(df: DataFrame, group: Column, name: str) -> DataFrame:
     return df.select(group.alias("group"), rows.alias("__row")).groupBy("group").agg(F.collect_list("__row").alias(name))
 
 
+def cubed(df: DataFrame, keys: list[tuple[str, Column]], how: str, name: str) -> DataFrame:
+    """group (a tuple of the named keys, null where all of them are taken together) and a bag, for each grouping of a cube or rollup."""
+    rows = F.collect_list(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias(name)
+    by = [f"__c{i}" for i in range(len(keys))]
+    d = df.withColumns({c: k for c, (_, k) in zip(by, keys, strict=True)})
+    return getattr(d, how)(*by).agg(rows).select(F.struct(*(F.col(c).alias(n) for c, (n, _) in zip(by, keys, strict=True))).alias("group"), name)
+
+
 def cogroup(inputs: list[tuple[DataFrame, Column, str, bool]], compound: bool) -> DataFrame:
     """group and one bag an input; (frame, key, bag's name, inner) each.
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes that Spark's estimate of an input may have for it to be sent to every task.
-REPLICATE_LIMIT = 256 << 20
+#: Bytes that Spark's estimate of an input may have for it to be sent to every task. Estimates are of files, which are
+#: compressed: rows take several times as much.
+REPLICATE_LIMIT = 64 << 20
 
 
 def small(df: DataFrame, limit: int = REPLICATE_LIMIT) -> bool:

@@ -68,6 +68,16 @@ class Call(Node):
     args: list[Node]
 
 
+@dataclass
+class Over(Node):
+    """A call over the rows that share keys, ordered; rows is how many before and behind the row count (None: all)."""
+
+    call: Call
+    keys: list[Node]
+    orders: list
+    rows: tuple[int | None, int | None] | None = None
+
+
 @dataclass
 class Make(Node):
     """A tuple, bag or map that is written out."""

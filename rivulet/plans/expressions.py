@@ -8,14 +8,14 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.errors import FlowError
-from rivulet.functions.builtins import AGGREGATES, SCALARS, duration
+from rivulet.functions.builtins import AGGREGATES, SCALARS, Aggregate, _wide, duration
 from rivulet.functions.casts import cast
-from rivulet.plans.ast import Call, Cast, Const, Deref, Lookup, Make, Name, Node, Op, Order, Range, Star
+from rivulet.plans.ast import Call, Cast, Const, Deref, Lookup, Make, Name, Node, Op, Order, Over, Range, Star
 from rivulet.types import ATOMS, INTEGRAL, parse_type
 
 _TEXT = (T.StringType, T.BinaryType)
@@ -189,6 +189,9 @@ def _top(node: Call, scope: Scope) -> Column:
 
 def _call(node: Call, scope: Scope) -> Column:
     name = node.name
+    if isinstance(scope.functions.get(name), Aggregate):
+        bag, kind = compile(node.args[0], scope), scope.type(node.args[0])
+        return scope.functions[name].bag(*first_field(bag, kind))
     if name in scope.functions:
         return scope.functions[name](*(compile(a, scope) for a in node.args))
     upper = name.upper()
@@ -244,6 +247,32 @@ def _deref(node: Deref, scope: Scope) -> Column:
     return base.getField(names[0]) if node.single else F.struct(*(base.getField(n).alias(n) for n in names))
 
 
+#: Functions of rows in their order, besides the aggregates.
+_ORDERED = {
+    "ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank, "PERCENT_RANK": F.percent_rank, "CUME_DIST": F.cume_dist, "NTILE": F.ntile,
+    "LAG": F.lag, "LEAD": F.lead, "FIRST_VALUE": F.first, "LAST_VALUE": F.last,
+}
+
+
+def _over(node: Over, scope: Scope) -> Column:
+    """A window of rows. Without keys all rows are one task's, as SQL has it."""
+    name, args = node.call.name.upper(), node.call.args
+    over = Window.partitionBy(*(compile(k, scope) for k in node.keys)).orderBy(*sort_columns(node.orders, scope))
+    if node.rows:
+        low, high = node.rows
+        over = over.rowsBetween(Window.unboundedPreceding if low is None else -low, Window.unboundedFollowing if high is None else high)
+    if name in _ORDERED:
+        values = [a.value if isinstance(a, Const) else compile(a, scope) for a in args]
+        c = _ORDERED[name](*values).over(over)
+        return c.cast("long") if name in ("ROW_NUMBER", "RANK", "DENSE_RANK") else c
+    if name == "COUNT_STAR":
+        return F.count(F.lit(1)).over(over)
+    if name not in AGGREGATES or len(args) != 1:
+        raise FlowError(f"{node.call.name} isn't a function of a window of rows", 1070, node.line, node.column)
+    value, kind = compile(args[0], scope), scope.type(args[0])
+    return (F.sum(value).over(over).cast(_wide(kind)) if name == "SUM" else AGGREGATES[name].grouped(value, kind).over(over))
+
+
 def compile(node: Node, scope: Scope) -> Column:  # noqa: A001
     """The column of an expression."""
     if isinstance(node, Const):
@@ -264,6 +293,8 @@ def compile(node: Node, scope: Scope) -> Column:  # noqa: A001
         return _call(node, scope)
     if isinstance(node, Make):
         return _make(node, scope)
+    if isinstance(node, Over):
+        return _over(node, scope)
     if isinstance(node, Op):
         op, args = node.op, node.args
         if op in ("+", "-", "*", "/", "%"):

@@ -1,4 +1,4 @@
-"""Tumbling and sliding windows; the same plan for a batch and a stream."""
+"""Tumbling, sliding and session windows; the same plan for a batch and a stream."""
 
 from __future__ import annotations
 
@@ -22,16 +22,17 @@ def event_time(df: DataFrame, on: str | None) -> tuple[DataFrame, str]:
     return df.withColumn(name, c.cast("timestamp")), name
 
 
-def windowed(df: DataFrame, on: str | None, every: tuple[int, str], keys: list[Column], outputs: list[Column], slide: tuple[int, str] | None = None, delay: str = DELAY) -> DataFrame:
+def windowed(df: DataFrame, on: str | None, every: tuple[int, str], keys: list[Column], outputs: list[Column], slide: tuple[int, str] | None = None, delay: tuple[int, str] | None = None, session: bool = False) -> DataFrame:
     """One row for each window and key with the outputs (aggregates, named); rows whose outputs are all null are left out.
 
-    The window's start and end come first, as window_start and window_end.
+    The window's start and end come first, as window_start and window_end. A session window goes on as long as rows of its key
+    follow each other within every; it has no slide. delay is how late a row of a stream may be, DELAY by default.
     """
+    span = lambda x: f"{x[0]} {x[1]}s"
     d, at = event_time(df, on)
     if d.isStreaming:
-        d = d.withWatermark(at, delay)
-    span = lambda x: f"{x[0]} {x[1]}s"
-    w = F.window(at, span(every), span(slide) if slide else None)
+        d = d.withWatermark(at, span(delay) if delay else DELAY)
+    w = F.session_window(at, span(every)) if session else F.window(at, span(every), span(slide) if slide else None)
     names = [f"__k{i}" for i in range(len(keys))]
     d = d.withColumns(dict(zip(names, keys, strict=True))) if keys else d
     out = d.groupBy(w.alias("__w"), *names).agg(*outputs)
