@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from rivulet import explain as explain_
 from rivulet.config import Config
 from rivulet.errors import FlowError
+from rivulet.functions.builtins import Aggregate
+from rivulet.functions.managed import Function, Timer, managed
 from rivulet.plans.ast import Step
 from rivulet.plans.parser import parse
 from rivulet.plans.planner import Planner, Relation
-from rivulet.sources import sinks
-from rivulet.storage import settings
+from rivulet.sources import custom, sinks
+from rivulet.storage import settings, shared_dir
+from rivulet.streaming.keyed import Stateful
 from rivulet.types import name_of
 
 
@@ -37,16 +41,40 @@ class Session:
         """A function of columns that returns a column: an expression, udf() or pandas_udf()."""
         self.planner.functions[name] = f
 
-    def register_stream(self, name: str, f: Callable) -> None:
-        """A generator over pandas frames, for STREAM ... THROUGH; options after # come as keywords."""
-        self.planner.streams[name] = f
+    def register_aggregate(self, name: str, grouped: Callable, bag: Callable | None = None) -> None:
+        """An aggregate, for groups and windows: grouped makes an aggregate expression of a column of values.
 
-    def register_comparator(self, name: str, key: Callable) -> None:
-        """For ORDER ... USING: a function of a column that returns the column to sort by."""
-        self.planner.comparators[name] = key
+        Built of Spark's own aggregates it is combined before the shuffle; a pandas_udf of a series to a number does as well,
+        without that. bag makes an expression of an array of the values, for bags that are built before; where it is
+        missing those are an error.
+        """
+
+        def unknown(values, _):
+            raise FlowError(f"{name} needs a group, not a bag that was built before", 1053)
+
+        self.planner.functions[name] = Aggregate(lambda c, t: grouped(c), unknown if bag is None else lambda c, t: bag(c))
+
+    def register_managed(self, name: str, make: Callable[[], Function], returns: str, within: float | None = None, default: object = None) -> Timer:
+        """A Python function with prepare, call and cleanup, given what the config has for its name; calls longer than within seconds give default."""
+        timer = Timer(self.spark)
+        self.planner.functions[name] = managed(make, returns, self.config.of(function=name), within, default, timer)
+        return timer
+
+    def register_stream(self, name: str, f: Callable, keys: list[str] | None = None, state: object = None, timeout: str = "NoTimeout") -> None:
+        """A generator over pandas frames, for STREAM ... THROUGH; options after # come as keywords.
+
+        With keys it is f(key, frames, state, **options) for each key, and state, Spark's group state of the schema given,
+        stays from one batch of a stream to the next.
+        """
+        self.planner.streams[name] = f if keys is None else Stateful(f, keys, state, timeout)
+
+    def register_comparator(self, name: str, key: Callable | None = None, compare: Callable[[tuple, tuple], int] | None = None) -> None:
+        """For ORDER ... USING: a function of a column that returns the column to sort by, or a comparison of two tuples of the sort columns' values."""
+        self.planner.comparators[name] = (key, compare)
 
     def register_tap(self, name: str, tap: Callable) -> None:
-        self.planner.taps[name] = tap
+        """A function like those of rivulet.sources.taps, or a class of sources.custom.Tap."""
+        self.planner.taps[name] = custom.source(tap) if isinstance(tap, type) and issubclass(tap, custom.Tap) else tap
 
     def register_dumper(self, name: str, dumper: Callable[..., sinks.Dumper]) -> None:
         self.dumpers[name] = dumper
@@ -134,21 +162,28 @@ class Session:
         return self.dumpers[using[0]](*using[1])
 
     def _start(self, df: DataFrame, step: Step, using: tuple[str, list] | None):
-        """A streaming query that hands each batch to the sink; its checkpoint is in the folder of the setting checkpoint."""
+        """A streaming query into the sink. Its checkpoint is in the folder of the setting checkpoint, or in the shared folder.
+
+        STORE of appended rows is Spark's own file sink, which has each batch once. Of a complete result the newest
+        replaces the files; of updates each batch has a folder by its number, so that one that is written again replaces itself.
+        Without the setting trigger a query ends when it has read what there is.
+        """
         options = self.config.of(step.args["of"])
-        mode = options.get("mode", "append")
-        dumper = self._dumper(using) if step.verb == "dump" else None
-
-        def batch(rows: DataFrame, _: int) -> None:
-            if dumper is not None:
-                sinks.dump(step.args["of"], rows.toLocalIterator(), dumper)
-            else:
-                sinks.store(rows, step.args["path"], using)
-
-        writer = df.writeStream.outputMode(mode).foreachBatch(batch)
-        if "checkpoint" in options:
-            writer = writer.option("checkpointLocation", f"{options['checkpoint']}/{step.args['of']}")
-        every = options.get("trigger")
+        mode, every = options.get("mode", "append"), options.get("trigger")
+        where = f"{options['checkpoint']}/{step.args['of']}" if "checkpoint" in options else f"{shared_dir(self.spark)}/streams-{uuid.uuid4().hex}"
+        if step.verb == "store" and mode == "append":
+            writer = sinks.appending(df, step.args["path"], using)
+        else:
+            dumper = self._dumper(using) if step.verb == "dump" else None
+
+            def batch(rows: DataFrame, number: int) -> None:
+                if dumper is not None:
+                    sinks.dump(step.args["of"], rows.toLocalIterator(), dumper)
+                else:
+                    sinks.store(rows, step.args["path"] if mode == "complete" else f"{step.args['path']}/batch={number}", using or (sinks.default(step.args["path"]), []))
+
+            writer = df.writeStream.foreachBatch(batch)
+        writer = writer.outputMode(mode).option("checkpointLocation", where)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
     def wait(self, seconds: float | None = None) -> None:
@@ -166,8 +201,8 @@ class Session:
 
 
 def start(spark: SparkSession, script: str, config: dict | None = None, **registered: Callable) -> Session:
-    """An embedded service: a script's sinks as running queries; stop() ends them."""
-    s = Session(spark, stream=True, config=config)
+    """An embedded service: a script's sinks as queries that run until stop() ends them, a batch each time that there is something new."""
+    s = Session(spark, stream=True, config={"trigger": "0 seconds"} | (config or {}))
     for name, f in registered.items():
         s.register_function(name, f)
     return s.run(Path(script).read_text() if script.endswith(".flow") else script)

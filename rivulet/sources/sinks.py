@@ -65,14 +65,29 @@ def dump(alias: str, rows: Iterable, dumper: Dumper) -> None:
     dumper.tear_down(alias)
 
 
-def store(df: DataFrame, path: str, using: tuple[str, list] | None) -> None:
-    """Writes files: Parquet, ORC, JSON, CSV, or lines of delimited text in the text form of values."""
-    name, args = using or ({".parquet": "Parquet", ".orc": "ORC", ".json": "JSON", ".csv": "CSV"}.get(Path(path).suffix, "TextLines"), [])
+def default(path: str) -> str:
+    """The form of files by the path's ending."""
+    return {".parquet": "Parquet", ".orc": "ORC", ".json": "JSON", ".csv": "CSV"}.get(Path(path).suffix, "TextLines")
+
+
+def _formed(df: DataFrame, path: str, using: tuple[str, list] | None) -> tuple[DataFrame, str, dict]:
+    """The frame that is written, the format, and its options: Parquet, ORC, JSON, CSV, or lines of delimited text in the text form of values."""
+    name, args = using or (default(path), [])
     if name == "TextLines":
         texts = [F.coalesce(codec.to_text(F.col(f"`{f.name}`"), f.dataType), F.lit("")) for f in df.schema]
-        df.select(F.concat_ws(args[0] if args else "\t", *texts).alias("value")).write.mode("overwrite").text(path)
-    elif name in ("Parquet", "ORC", "JSON", "CSV"):
-        writer = df.write.mode("overwrite")
-        (writer.option("sep", args[0]) if name == "CSV" and args else writer).format(name.lower()).save(path)
-    else:
+        return df.select(F.concat_ws(args[0] if args else "\t", *texts).alias("value")), "text", {}
+    if name not in ("Parquet", "ORC", "JSON", "CSV"):
         raise FlowError(f"no sink named {name}", 1005)
+    return df, name.lower(), {"sep": args[0]} if name == "CSV" and args else {}
+
+
+def store(df: DataFrame, path: str, using: tuple[str, list] | None) -> None:
+    """Writes files in the place of those that are there."""
+    rows, form, options = _formed(df, path, using)
+    rows.write.mode("overwrite").options(**options).format(form).save(path)
+
+
+def appending(df: DataFrame, path: str, using: tuple[str, list] | None):
+    """A writer of a stream's rows, each batch behind those before it, once even if it is run again."""
+    rows, form, options = _formed(df, path, using)
+    return rows.writeStream.format(form).options(**options).option("path", path)

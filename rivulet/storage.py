@@ -7,6 +7,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rivulet.errors import FlowError
+
 #: Scripts wrap around on overflow and give null for bad casts and division by zero; names tell cases apart.
 SETTINGS = {"spark.sql.ansi.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.caseSensitive": "true", "spark.sql.legacy.sizeOfNull": "false"}
 
@@ -25,9 +27,20 @@ def settings(spark: SparkSession, values: dict[str, str] | None = None):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes the rows to spark.checkpoint.dir, or a temporary folder where it is unset, and reads them from there."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset a local master gets a temporary folder; on a cluster that is an error, as no other machine sees one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise FlowError("spark.checkpoint.dir must name a folder that driver and executors share", 1012)
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and reads them from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
