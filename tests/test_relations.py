@@ -1,13 +1,19 @@
 """Operators and sessions: null keys, fused against unfused plans, sinks, streams, and all registered queries against DuckDB."""
 
+import time
+
 import duckdb
 import pytest
 
 import __spark_entry__
 from rivulet import catalog, explain, monitor
 from rivulet.errors import FlowError
+from rivulet.functions.managed import Function
+from rivulet.plans.parser import macros
 from rivulet.session import Session, start
 from rivulet.sources import sinks
+from rivulet.sources.custom import Tap, source
+from rivulet.storage import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +40,7 @@ def test_query(spark, sf, oracle, name):
 
 
 def test_joins_of_whole_tables(spark, sf, oracle):
-    three, full = (catalog.queries()[name](spark, sf).collect() for name in ("join_three_way_whole", "join_full_whole"))
+    three, full = (catalog.queries()[name](spark, sf).collect() for name in ("join_three_way", "join_full"))
     assert {r.c_custkey for r in three} == {r[0] for r in oracle.execute("SELECT c_custkey FROM customer SEMI JOIN supplier ON c_nationkey = s_nationkey").fetchall()}
     assert {r.o_orderkey for r in full} - {None} == {r[0] for r in oracle.execute("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").fetchall()}
     assert any(r.o_orderkey is None for r in full) and any(r.c_custkey is None for r in full)
@@ -45,7 +51,11 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-GROUPED = ["group_count", "group_multi_key", "group_null_key", "having", "count_distinct_nested", "nested_filter_count", "group_expr_key", "join_cogroup_flatten"]
+GROUPED = [
+    "group_count", "group_multi_key", "group_null_key", "having", "count_distinct_nested", "nested_filter_count", "group_expr_key", "join_cogroup_flatten", "distinct_of_filtered",
+    "distinct_whole_tuples", "cube_rollup", "rollup", "nested_order_limit", "top_per_group", "cogroup_counts", "cogroup_null_keys", "cogroup_compound_null", "cogroup_inner", "cogroup_three",
+    "cogroup_three_aggregates", "cogroup_merge", "partition_bind_group", "semi_cogroup", "anti_cogroup", "anti_null_keys", "join_cogroup_outer",
+]
 
 
 @pytest.mark.parametrize("name", GROUPED)
@@ -119,10 +129,125 @@ def test_service_and_monitor(spark, tmp_path):
     reports = []
     m = monitor.attach(spark, reports.append)
     s = start(spark, f"t = TAP '{tmp_path}/in' AS (k:int); f = FILTER t BY k > 1; STORE f INTO '{tmp_path}/out';")
-    s.wait(60)
-    s.stop()
-    spark.streams.removeListener(m)
-    assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["2"]
+    try:
+        until(lambda: sum(r["rows"] for r in reports) == 2)
+        (tmp_path / "in/b.tsv").write_text("0\n3\n")  # a service goes on
+        until(lambda: sum(r["rows"] for r in reports) == 4)
+        assert all(q.isActive for q in s.queries)
+    finally:
+        s.stop()
+        spark.streams.removeListener(m)
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == ["2", "3"]
+    assert len({r["query"] for r in reports}) == 1 and all(r["ms"] >= 0 for r in reports)
+
+
+def until(done, seconds=60):
+    end = time.time() + seconds
+    while not done():
+        assert time.time() < end
+        time.sleep(0.1)
+
+
+@pytest.mark.parametrize("mode", ["append", "update", "complete"])
+def test_store_of_a_stream_keeps_batches(spark, tmp_path, mode):
+    (tmp_path / "in").mkdir()
+    script = f"t = TAP '{tmp_path}/in' AS (k:int); " + (f"f = FILTER t BY k > 0; STORE f INTO '{tmp_path}/out';" if mode == "append" else f"g = GROUP t BY k; f = FOREACH g GENERATE group, COUNT(t); STORE f INTO '{tmp_path}/out';")
+    for name, text in (("a", "1\n2\n"), ("b", "2\n3\n")):
+        (tmp_path / f"in/{name}.tsv").write_text(text)
+        s = Session(spark, stream=True, config={"checkpoint": str(tmp_path / "state"), "mode": mode}).run(script)
+        s.wait()
+    got = sorted(r.value for r in spark.read.option("recursiveFileLookup", "true").text(f"{tmp_path}/out").collect())
+    assert got == {"append": ["1", "2", "2", "3"], "update": ["1\t1", "2\t1", "2\t2", "3\t1"], "complete": ["1\t1", "2\t2", "3\t1"]}[mode]
+
+
+class Queue(Tap):
+    """Gives what is in a list, and nothing once that is at its end."""
+
+    rows = [(i, f"r{i}") for i in range(5)]
+    schema = "k int, v string"
+
+    def open(self, path, args, part):
+        self.at = 0
+
+    def next(self):
+        self.at += 1
+        return self.rows[self.at - 1] if self.at <= len(self.rows) else None
+
+
+def test_custom_tap_in_a_stream(spark):
+    kept = sinks.ListDumper()
+    s = Session(spark, stream=True, config={"trigger": "0 seconds"})
+    s.register_tap("Queue", source(Queue))
+    s.register_dumper("Keep", lambda: kept)
+    s.run("t = TAP 'x' USING Queue(); f = FILTER t BY k != 2; DUMP f USING Keep();")
+    try:
+        until(lambda: len(kept.rows) == 4)
+    finally:
+        s.stop()
+    assert sorted(kept.rows) == [(i, f"r{i}") for i in (0, 1, 3, 4)]
+
+
+def test_state_of_a_stream_stays(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    kept = sinks.ListDumper()
+    for name, text in (("a", "x\ny\nx\n"), ("b", "x\n")):
+        (tmp_path / f"in/{name}.tsv").write_text(text)
+        s = Session(spark, stream=True, config={"checkpoint": str(tmp_path / "state")})
+        s.register_stream("tally", catalog._tally, keys=["event_type"], state="n long")
+        s.register_dumper("Keep", lambda: kept)
+        s.run(f"t = TAP '{tmp_path}/in' AS (event_type:chararray); c = STREAM t THROUGH `tally` AS (event_type:chararray, n:long); DUMP c USING Keep();")
+        s.wait()
+    assert sorted(kept.rows) == [("x", 2), ("x", 3), ("y", 1)]
+
+
+class Slow(Function):
+    log: list = []
+
+    def prepare(self, config):
+        self.pause = float(config["pause"])
+
+    def call(self, k):
+        time.sleep(self.pause if k else 0)
+        return "in time"
+
+
+def test_managed_functions(spark):
+    s = Session(spark, config={"functions": {"Slow": {"pause": "3"}}})
+    timer = s.register_managed("Slow", Slow, "string", within=1.0, default="late")
+    s.register_frame("t", spark.range(3).coalesce(1))
+    got = s.load("out = FOREACH t GENERATE id, Slow((int)id) AS said;").relation("out").collect()
+    assert sorted(map(tuple, got)) == [(0, "in time"), (1, "late"), (2, "late")]
+    assert timer.calls.value == 3 and timer.timed.value == 1 and timer.mean < 1
+
+
+def test_registered_aggregate_needs_a_group(spark, sf):
+    s = catalog.session(spark).load(catalog.prepared("g = GROUP nation BY n_regionkey; f = FILTER g BY SIZE(nation) > 1L;"), {"sf": sf})
+    with pytest.raises(FlowError):
+        s.load("out = FOREACH f GENERATE Squares(nation.n_nationkey);")
+
+
+def test_macros():
+    text = "DEFINE two(a) RETURNS b { x = FILTER $a BY k > 1;\n $b = LIMIT x 2; };\nDEFINE four(a) RETURNS b { y = two($a); $b = UNION y, y; };\nr = four(t); q = two(r);"
+    got = macros(text)
+    assert got.count("FILTER") == 2 and "r = UNION" in got and "q = LIMIT" in got and "$" not in got and "DEFINE" not in got
+    with pytest.raises(FlowError):
+        macros("DEFINE m(a) RETURNS b { $b = LIMIT $a 1; }; x = m(p, q);")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("X", (), {"getCheckpointDir": lambda self: type("O", (), {"isEmpty": lambda self: True})()})()
+
+    with pytest.raises(FlowError):
+        shared_dir(type("S", (), {"sparkContext": Context()})())
 
 
 def test_observed(spark):
