@@ -74,6 +74,44 @@ def test_suffix_dedup(docs, empty, hot):
     assert suffix_dedup.cut_repeats(empty).collect() == []
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts of several blocks, one of them with repeats within and across its blocks, and one that crosses a block's edge."""
+    r = np.random.default_rng(8)
+    long = r.integers(97, 123, 2_300_000).astype(np.uint8).tobytes().decode()
+    edge = suffix_dedup.BLOCK
+    texts = [(1, long + long[5000:5400] + long[edge - 150 : edge + 150]), (2, prose(50, 1) + long[edge - 60 : edge + 70] + long[-130:]), (3, long[:99]), (0, long[edge + 500 : edge + 700])]
+    got = suffix_dedup.cut_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert by_key(got) == by_key(cut_slowly(texts))
+
+
+def test_blocks_overlap(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
+    sizes = np.array([0, 99, 100, 1000, 250, 101, 700])
+    ends = np.cumsum(sizes)
+    seen = {}
+    for parts in suffix_dedup._blocks(ends - sizes, ends, 100):
+        assert (parts[:, 2] - parts[:, 1]).sum() <= 300 + 100
+        for row, a, b in parts.tolist():
+            for k in range(a, b - 99):
+                seen[row, k] = seen.get((row, k), 0) + 1
+    assert seen == {(row, k): 1 for row, n in enumerate(sizes) for k in range(n - 99)}
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_runs_are_merged_as_one_array_has_them(monkeypatch, clash):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 3, 4000).astype(np.uint8)
+    spans = [base[i : i + n] for i, n in zip(r.integers(0, 3800, 120).tolist(), r.integers(100, 168, 120).tolist(), strict=True)]
+    end = np.cumsum(list(map(len, spans)))
+    start, data = end - list(map(len, spans)), np.concatenate(spans)
+    want = suffix_dedup._later(data, start, end, 100)
+    if clash:
+        plain = suffix_dedup._hashes
+        monkeypatch.setattr(suffix_dedup, "_hashes", lambda d, n: plain(d, n) % np.uint64(50))
+    got = suffix_dedup._across(data, start, end, r.integers(0, suffix_dedup.RUNS, 120), 100)
+    assert want.any() and (got == want).all()
+
+
 def test_cut_text_keeps_columns(docs):
     got = suffix_dedup.cut_text(docs)
     assert got.columns == [*docs.columns, "n_cut"]
