@@ -36,9 +36,10 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     """conv_id and formatted, one row a conversation.
 
     Turns are ordered by turn (null first), then role and text, so ties have one result; repeated rows are repeated
-    turns. A null text or role counts as empty; rows with a null conv_id form one conversation. The work on a
-    conversation grows with its length, not with the square of it: the starts of the runs of one role are found once
-    and each run is a slice.
+    turns. A null text or role counts as empty; rows with a null conv_id form one conversation. Texts of any length are
+    taken whole; a conversation is one row, so all of it is in one task. Other columns, whatever their names, have no part
+    in it. The work on a conversation grows with its length, not with the square of it: the starts of the runs of one
+    role are found once and each run is a slice.
     """
     t = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = rows.select(F.col(conv).alias("conv_id"), t.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -58,20 +59,33 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", turns.alias("turns"))
 
 
+def _running(array: str) -> str:
+    """SQL for the running sums of an array of longs, in as many passes over it as its length has binary digits.
+
+    A fold that appends would copy what it has for each element, and so grow with the square of the length.
+    """
+    out = array
+    for k in range(31):  # an array has fewer than 2^31 elements; passes beyond its length do nothing
+        out = f"get(transform(array({out}), q{k} -> if(size(q{k}) > {1 << k}, transform(q{k}, (x, i) -> x + if(i >= {1 << k}, get(q{k}, i - {1 << k}), 0L)), q{k})), 0)"
+    return out
+
+
 def loss(parsed: DataFrame, trained: str = "assistant") -> DataFrame:
     """parsed with mask and loss: the spans of formatted that the loss is taken over, and the text under them.
 
     mask has start (from 1) and length in code points of each span, which covers one text of the trained role and no
-    mark; loss is the unescaped text of the spans, one after the other.
+    mark; loss is the unescaped text of the spans, one after the other. Both are read from formatted, block by block, and
+    the work grows with a conversation's length, but for the passes of _running().
     """
     blocks = F.split("formatted", END)
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
-    piece = "named_struct('skip', if(i = 0, x.head, 0L), 'size', length(y), 'hit', x.hit, 'after', if(i = size(x.texts) - 1, %d, %d))" % (len(END), len(SEP))
-    d = parsed.withColumn("b", F.transform(blocks, lambda b: F.struct(F.locate("\n", b).cast("long").alias("head"), F.split(F.substr(b, F.locate("\n", b) + 1), SEP).alias("texts"), F.startswith(b, F.lit(f"{HEAD}{trained}\n")).alias("hit"))))
-    d = d.withColumn("p", F.expr(f"flatten(transform(b, x -> transform(x.texts, (y, i) -> {piece})))"))
-    d = d.withColumn("mask", F.expr("aggregate(p, named_struct('at', 1L, 'spans', cast(array() as array<struct<start:bigint,length:bigint>>)), (a, x) -> named_struct('at', a.at + x.skip + x.size + x.after, 'spans', if(x.hit, concat(a.spans, array(named_struct('start', a.at + x.skip, 'length', cast(x.size as bigint)))), a.spans)), a -> a.spans)"))
-    under = F.transform("mask", lambda m: unescape(F.substr("formatted", m.start.cast("int"), m.length.cast("int"))))
-    return d.drop("b", "p").withColumn("loss", F.array_join(under, ""))
+    piece = "named_struct('skip', if(i = 0, x.head, 0L), 'size', cast(length(y) as bigint), 'hit', x.hit, 'after', if(i = size(x.texts) - 1, %dL, %dL), 'text', if(x.hit, y, ''))" % (len(END), len(SEP))
+    d = parsed.withColumn("_b", F.transform(blocks, lambda b: F.struct(F.locate("\n", b).cast("long").alias("head"), F.split(F.substr(b, F.locate("\n", b) + 1), SEP).alias("texts"), F.startswith(b, F.lit(f"{HEAD}{trained}\n")).alias("hit"))))
+    d = d.withColumn("_p", F.expr(f"flatten(transform(_b, x -> transform(x.texts, (y, i) -> {piece})))"))
+    d = d.withColumn("_ends", F.expr(_running("transform(_p, x -> x.skip + x.size + x.after)")))
+    d = d.withColumn("mask", F.expr("transform(filter(arrays_zip(_p, _ends), z -> z._p.hit), z -> named_struct('start', z._ends - z._p.after - z._p.size + 1L, 'length', z._p.size))"))
+    under = F.transform(F.filter("_p", lambda x: x.hit), lambda x: unescape(x.text))
+    return d.withColumn("loss", F.array_join(under, "")).drop("_b", "_p", "_ends")
 
 
 def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
