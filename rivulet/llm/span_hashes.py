@@ -10,7 +10,8 @@ what share of spans the texts have in common.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ from rivulet.llm.common import shuffle_partitions
 
 P = (1 << 31) - 1
 BASES = (1_103_515_249, 1_664_525_003)
+INVERSES = tuple(pow(b, -1, P) for b in BASES)
 SPAN, SKETCH = 8, 64
+#: Code points that are worked on at once.
+PIECE = 1 << 18
 #: Most ranges of ids that texts are dealt by; each is streamed, so a range may be of any size.
 RANGES = 4096
 
@@ -33,51 +37,54 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.where(x >= P, x - P, x)
 
 
-class _Powers:
-    """Powers of the bases and their inverses, as far as any text has needed them."""
+@lru_cache(8)
+def _powers(base: int) -> np.ndarray:
+    """The first PIECE powers of a base."""
+    out = np.ones(1, np.int64)
+    while len(out) < PIECE:
+        out = np.concatenate([out, _mod(out * pow(base, len(out), P))])
+    return out
 
-    def __init__(self):
-        self.up = [np.ones(1, np.int64) for _ in BASES]
-        self.down = [np.ones(1, np.int64) for _ in BASES]
 
-    def reach(self, n: int) -> None:
-        while len(self.up[0]) <= n:
-            size = len(self.up[0])
-            for k, base in enumerate(BASES):
-                for table, b in ((self.up, base), (self.down, pow(base, -1, P))):
-                    table[k] = np.concatenate([table[k], _mod(table[k] * pow(b, size, P))])
-
-
-POWERS = _Powers()
+def _scaled(base: int, start: int, n: int) -> np.ndarray:
+    """n powers of a base, at most PIECE, from the one to the start on."""
+    up = _powers(base)[:n]
+    return _mod(up * pow(base, start, P)) if start else up
 
 
 class Prefix:
-    """Prefix arrays of a text, given as its code points."""
+    """Prefix arrays of a text, given as its code points: four bytes a code point and base, made PIECE code points at a time."""
 
     def __init__(self, codes: np.ndarray):
         self.n = len(codes)
-        POWERS.reach(self.n)
-        c = codes.astype(np.int64) + 1
-        self.sums = []
-        for up in POWERS.up:
-            s = np.zeros(self.n + 1, np.int64)
-            np.cumsum(_mod(c * up[: self.n]), out=s[1:])
-            self.sums.append(_mod(s))
+        self.sums = [np.zeros(self.n + 1, np.uint32) for _ in BASES]
+        for sums, base in zip(self.sums, BASES, strict=True):
+            carry = 0
+            for o in range(0, self.n, PIECE):
+                c = codes[o : o + PIECE].astype(np.int64) + 1
+                s = _mod(np.cumsum(_mod(c * _scaled(base, o, len(c)))) + carry)
+                sums[o + 1 : o + 1 + len(c)] = s
+                carry = int(s[-1])
 
     def span(self, start: int, end: int) -> tuple[int, ...]:
-        return tuple(int(s[end] - s[start]) % P * int(down[start]) % P for s, down in zip(self.sums, POWERS.down, strict=True))
+        return tuple((int(s[end]) - int(s[start])) % P * pow(inverse, start, P) % P for s, inverse in zip(self.sums, INVERSES, strict=True))
 
-    def spans(self, width: int) -> np.ndarray:
-        """Mixed 64-bit hashes of all spans of this width; of the whole text if it is shorter."""
+    def spans(self, width: int, low: int = 0, high: int | None = None) -> Iterator[np.ndarray]:
+        """Mixed 64-bit hashes of the spans of this width that begin from low on and before high, PIECE at a time; of the whole text if it is shorter."""
         if self.n < width:
             a, b = self.span(0, self.n)
-            out = np.array([a << 31 | b], np.uint64)
-        else:
-            m = self.n - width + 1
-            a, b = (_mod(_mod(s[width:] - s[:m] + P) * down[:m]) for s, down in zip(self.sums, POWERS.down, strict=True))
-            out = (a << 31 | b).view(np.uint64)
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return out ^ (out >> np.uint64(29))
+            yield _mixed(np.array([a << 31 | b], np.uint64))
+            return
+        high = self.n - width + 1 if high is None else min(high, self.n - width + 1)
+        for o in range(low, high, PIECE):
+            m = min(PIECE, high - o)
+            a, b = (_mod(_mod(s[o + width : o + width + m].astype(np.int64) - s[o : o + m] + P) * _scaled(inverse, o, m)) for s, inverse in zip(self.sums, INVERSES, strict=True))
+            yield _mixed((a << 31 | b).view(np.uint64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
 
 def equal(a: Prefix, i: int, b: Prefix, j: int, length: int) -> bool:
@@ -94,15 +101,16 @@ def common_extension(a: Prefix, i: int, b: Prefix, j: int) -> int:
     return low
 
 
-def sketch(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
+def sketch(hashes: Iterable[np.ndarray], size: int = SKETCH) -> np.ndarray:
     """The smallest distinct hashes, cut to 32 bits."""
-    h = (hashes >> np.uint64(32)).astype(np.uint32)
-    most = 4 * size
-    if len(h) > most:
-        some = np.unique(np.partition(h, most)[:most])
-        if len(some) >= size:
-            return some[:size]
-    return np.unique(h)[:size]
+    out = np.zeros(0, np.uint32)
+    for part in hashes:
+        h = (part >> np.uint64(32)).astype(np.uint32)
+        if len(h) > 4 * size:
+            some = np.unique(np.partition(h, 4 * size)[: 4 * size])
+            h = some if len(some) >= size else np.unique(h)
+        out = np.union1d(out, h)[:size]
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -120,26 +128,28 @@ def _codes(text: str) -> np.ndarray:
 
 
 class _Document:
+    """A text with its prefix arrays; front is the sketch of the spans that its edited text has as well."""
+
     def __init__(self, doc_id: int | None, text: str, span: int = SPAN, size: int = SKETCH):
         self.doc_id, self.text, self.codes = doc_id, text, _codes(text)
-        self.prefix = Prefix(self.codes)
-        self.hashes = self.prefix.spans(span)
-        self.sketch = sketch(self.hashes, size)
+        self.prefix, n = Prefix(self.codes), len(self.codes)
+        self.kept = n - n // 4
+        shared = max(0, self.kept - span + 1) if n >= span else 0
+        self.front = sketch(self.prefix.spans(span, 0, shared), size) if shared else np.zeros(0, np.uint32)
+        self.sketch = np.union1d(self.front, sketch(self.prefix.spans(span, shared), size))[:size]
         self.whole = self.prefix.span(0, self.prefix.n)
 
     def against(self, other: "_Document", span: int = SPAN, size: int = SKETCH) -> tuple:
-        n = len(self.codes)
-        q = n // 4
-        head = other.codes[:q]
-        kept = n - q
+        n, kept = len(self.codes), self.kept
+        head = other.codes[: n - kept]
         if kept >= span:  # only the spans from the seam on are new
             tail = Prefix(np.concatenate([self.codes[kept - span + 1 : kept], head]))
-            new = tail.spans(span) if tail.n >= span else np.zeros(0, np.uint64)
-            edited = sketch(np.concatenate([self.hashes[: kept - span + 1], new]), size)
+            new = sketch(tail.spans(span), size) if tail.n >= span else np.zeros(0, np.uint32)
+            edited = np.union1d(self.front, new)[:size]
         else:
             edited = sketch(Prefix(np.concatenate([self.codes[:kept], head])).spans(span), size)
-        whole = tuple((self.prefix.span(0, kept)[k] + other.prefix.span(0, len(head))[k] * int(POWERS.up[k][kept])) % P for k in range(len(BASES)))
-        text = self.text[:kept] + other.text[:q]
+        whole = tuple((a + b * pow(base, kept, P)) % P for a, b, base in zip(self.prefix.span(0, kept), other.prefix.span(0, len(head)), BASES, strict=True))
+        text = self.text[:kept] + other.text[: n - kept]
         common = kept + common_extension(self.prefix, kept, Prefix(head), 0)
         return (
             self.doc_id, n, hashlib.sha256(text.encode()).hexdigest(), _text(self.whole, n, self.sketch), _text(whole, len(text), edited),
@@ -162,8 +172,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
 
     The edited text has the last quarter of the code points (rounded down) replaced by the first as many, or all, of
     the next document by doc_id; after the last comes the first. A null text is empty. A null doc_id comes first; rows
-    with one doc_id follow each other by length and hash of their texts. A single document is its own next one. common_prefix is the number
-    of code points that text and edited text begin with alike.
+    with one doc_id follow each other by length and hash of their texts, and equal rows by chance, which changes no result.
+    A single document is its own next one. common_prefix is the number of code points that text and edited text begin with
+    alike. Other columns of docs have no part in it. A text of any length is taken whole: a task holds two of them, with
+    twelve bytes a code point besides, and works PIECE code points at a time.
 
     Texts are shuffled once, by ranges of doc_id; a range is sorted and streamed, two documents at a time, and the
     first document of each range is sent to the range before it as well. What the driver sees is a bound and a first
