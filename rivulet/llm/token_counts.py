@@ -3,7 +3,8 @@
 A byte-level BPE never merges over the edge of a pre-token, so a text has as many tokens as its pre-tokens have in
 sum. The first tier is a compact table that is broadcast: the tokens of the vocabulary, the strings that were frequent
 enough to become tokens, each with its own length. It has at most as many rows as the vocabulary, whatever the corpus.
-The second tier is a bounded cache in each Python worker for all other pre-tokens, which the library encodes once.
+The second tier is a bounded cache in each Python worker for all other pre-tokens, which the library encodes once. Stretches
+of text with characters on whose class regex libraries differ go to the library as they are.
 """
 
 from __future__ import annotations
@@ -20,10 +21,29 @@ from pyspark.sql import functions as F
 #: Misses that a worker keeps; the cache starts anew beyond it.
 CACHE = 400_000
 LIMIT = 1024
+#: Pre-tokens that are looked up at once.
+PIECE = 1 << 20
 #: The pre-token pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Code points on whose classes all regex libraries agree; a text with any other is encoded by the library as a whole.
+#: Any but the code points on whose classes all regex libraries agree; stretches with such are encoded by the library.
 UNSURE = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ‐-‧₠-€]")
+#: Where a text can be cut, whatever else is in it: before a space between two of the sure characters that aren't spaces. No
+#: pre-token has a space but as its first character, or among spaces.
+CUT = re.compile("(?<=[!-~¡-ɏ])(?= [!-~¡-ɏ])")
+
+
+def stretches(text: str) -> Iterator[tuple[bool, str]]:
+    """Whether it is sure, and a stretch of text, by turns; cut where no pre-token goes over the cut."""
+    held, sure = [], True
+    for word in CUT.split(text):
+        now = not UNSURE.search(word)
+        if held and now != sure:
+            yield sure, "".join(held)
+            held = []
+        sure = now
+        held.append(word)
+    if held:
+        yield sure, "".join(held)
 
 
 def _tokenizer(path: str):
@@ -58,7 +78,8 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """doc_id, n_bytes, n_tokens and over_limit of every row; a null text counts as empty.
 
     path: a tokenizers file (.json) or a sentencepiece model (.model). Files whose pre-tokens don't add up, and
-    sentencepiece models, are encoded text by text.
+    sentencepiece models, are encoded text by text. Repeated rows are rows of their own; other columns have no part in it.
+    A text of any length is counted whole, PIECE pre-tokens at a time where its pre-tokens add up.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -80,8 +101,14 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             base = len(known)
 
             def piece(s: str) -> int:
+                total, tokens = 0, find(s)
+                while len(tokens) > PIECE:
+                    total += looked_up(tokens[-PIECE:])
+                    del tokens[-PIECE:]
+                return total + looked_up(tokens)
+
+            def looked_up(tokens: list[str]) -> int:
                 nonlocal known
-                tokens = find(s)
                 lengths = list(map(known.get, tokens))
                 if None in lengths:
                     misses = list({x for x, n in zip(tokens, lengths, strict=True) if n is None})
@@ -94,10 +121,10 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 return sum(lengths)
 
             def count(s: str) -> int:
-                if not plain or UNSURE.search(s):
+                if not plain:
                     return whole(s)
                 parts = cut.split(s) if cut else [s]
-                return sum(map(piece, parts)) + len(parts) - 1
+                return len(parts) - 1 + sum(piece(x) if sure else whole(x) for part in parts for sure, x in ([(True, part)] if not UNSURE.search(part) else stretches(part)))
 
         for b in batches:
             texts = b.column("text")
