@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -145,6 +146,38 @@ def test_language_id(spark, docs, empty):
     assert language_id.train(empty) == {} and language_id.predict(empty, profiles).collect() == []
 
 
+def profile_slowly(texts, size):
+    """The most frequent n-grams of texts, ties by code points, counted one by one."""
+    counts = {}
+    for t in texts:
+        s = re.sub(" +", " ", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in f" {t} "))
+        for n in (1, 2, 3):
+            for i in range(len(s) - n + 1):
+                if (g := s[i : i + n]) != " ":
+                    counts[g] = counts.get(g, 0) + 1
+    code = lambda g: sum((1 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+
+def test_language_id_is_out_of_place_ranking(spark, docs):
+    r = random.Random(9)
+    kinds = {k: ["".join(r.choice(a) for _ in range(r.randint(1, 8))) for _ in range(60)] for k, a in (("aa", "abcdeé"), ("bb", "cdefghß"), ("cc", "ghiaxyz"))}
+    rows_ = [(i, " ".join(r.choice(kinds[k]) for _ in range(r.randint(3, 300))), k) for i, k in enumerate(["aa", "bb", "cc"] * 20)]
+    train = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    for size in (30, 400):
+        profiles = {k: profile_slowly([t for _, t, x in rows_ if x == k], size) for k in kinds}
+        texts = [(i, t) for i, t, _ in rows_] + [(1000 + i, x[1]) for i, x in enumerate(rows())]
+        got = language_id.predict(spark.createDataFrame(texts, "doc_id long, text string"), language_id.train(train, size=size), size=size)
+        for (_, t), x in zip(texts, sorted(got.collect(), key=lambda x: x.doc_id), strict=True):
+            mine = profile_slowly([t or ""], size)
+            if not any(c.isalpha() for c in t or ""):
+                assert (x.lang_pred, x.score) == ("und", 0)
+                continue
+            far = {k: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(mine)) for k, p in profiles.items()}
+            best = min(far, key=lambda k: (far[k], k))
+            assert x.lang_pred == best and x.score == pytest.approx(1 - far[best] / (size * len(mine)))
+
+
 def test_grams_in_pieces(monkeypatch):
     text = "Ab, c'é  dd\n" * 40
     whole = language_id._grams(text)
@@ -180,9 +213,11 @@ def test_pre_tokens_of_all_kinds():
     import public_tokenizers
 
     t, r = token_counts._tokenizer(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
-    chars = "ab'streDLl  \n\t.,1²½_\x1c\x85\xa0éßªº“”–€中　😀"
+    chars = "ab'streDLl   x y\n\t.,1²½_\x1c\x85\xa0éßªº“”–€中　😀"
     for _ in range(3000):
         s = "".join(r.choice(chars) for _ in range(r.randint(0, 12)))
+        assert sum(len(t.encode(x, add_special_tokens=False).ids) for _, x in token_counts.stretches(s)) == len(t.encode(s, add_special_tokens=False).ids)
+        assert "".join(x for _, x in token_counts.stretches(s)) == s
         if not token_counts.UNSURE.search(s):
             assert token_counts.regex.findall(token_counts.PATTERN, s) == [s[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(s)]
 
@@ -491,6 +526,27 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(d.limit(0)).collect() == []
 
 
+def test_mask_covers_the_loss(spark):
+    chats = [(c, t, role, f"{role}<{t}>#\\ é") for c in range(6) for t, role in enumerate((["user", "assistant", "assistant", "tool"] * 9)[: 3 + 5 * c])]
+    d = chat_format.loss(chat_format.parse_chats(chat_format.format_chats(spark.createDataFrame(chats, "conv_id long, turn long, role string, text string"))))
+    for r in d.collect():
+        back = [r.formatted[m.start - 1 : m.start - 1 + m.length].replace("\\l", "<").replace("\\h", "#").replace("\\b", "\\") for m in r.mask]
+        assert back == [x[3] for x in chats if x[0] == r.conv_id and x[2] == "assistant"] and "".join(back) == r.loss
+
+
+def test_a_long_conversation_takes_time_by_its_length(spark):
+    def seconds(n):
+        d = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text <"), "id").alias("text"))
+        began = time.perf_counter()
+        (r,) = chat_format.digest(chat_format.parse_chats(chat_format.format_chats(d))).collect()
+        assert r.n_turns == n and r.loss_chars == sum(6 + len(str(k)) for k in range(1, n, 2))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    short, long = min(seconds(8000) for _ in range(2)), min(seconds(16000) for _ in range(2))
+    assert long < 2.5 * short + 0.5
+
+
 # ---- 10
 
 
@@ -506,6 +562,44 @@ def test_span_hashes():
         assert span_hashes.equal(p, i, q, j, n)
 
 
+def print_of(text, span=8, size=64):
+    """Fingerprint and sketch of a text, span by span, in plain integers."""
+    p, mask = (1 << 31) - 1, (1 << 64) - 1
+
+    def of(t):
+        return [sum((ord(c) + 1) * pow(b, i, p) for i, c in enumerate(t)) % p for b in span_hashes.BASES]
+
+    hashes = set()
+    for i in range(max(1, len(text) - span + 1)):
+        a, b = of(text[i : i + span])
+        x = a << 31 | b
+        x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & mask
+        hashes.add((x ^ x >> 29) >> 32)
+    least = sorted(hashes)[:size]
+    return f"{len(text):x}." + "".join(f"{x:08x}" for x in of(text)) + "." + "".join(f"{x:08x}" for x in least), least
+
+
+def alike(a, b, size=64):
+    a, b = print_of(a)[1], print_of(b)[1]
+    both = sorted(set(a) | set(b))[:size]
+    return sum(x in a and x in b for x in both) / len(both)
+
+
+def test_prefixes_in_pieces(monkeypatch):
+    codes = span_hashes._codes(prose(300, 12))
+    whole = span_hashes.Prefix(codes)
+    spans = np.concatenate(list(whole.spans(8)))
+    monkeypatch.setattr(span_hashes, "PIECE", 64)
+    span_hashes._powers.cache_clear()
+    try:
+        parts = span_hashes.Prefix(codes)
+        assert all((a == b).all() for a, b in zip(whole.sums, parts.sums, strict=True))
+        assert (np.concatenate(list(parts.spans(8))) == spans).all() and (np.concatenate(list(parts.spans(8, 5, 200))) == spans[5:200]).all()
+        assert parts.span(70, 300) == whole.span(70, 300)
+    finally:
+        span_hashes._powers.cache_clear()
+
+
 @pytest.mark.parametrize("ranges", [1, 5, 64])
 def test_fingerprints(docs, empty, ranges):
     d = docs.where("doc_id IS NULL OR n_chars != 9").where("text IS NULL OR text != 'same id, other text'")
@@ -517,10 +611,10 @@ def test_fingerprints(docs, empty, ranges):
     for k, (i, t) in enumerate(data):
         q, after = len(t) // 4, data[(k + 1) % len(data)][1]
         edited = t[: len(t) - q] + after[:q]
-        r, e = got[i], span_hashes._Document(0, edited)
+        r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.edited_fingerprint == span_hashes._text(e.whole, len(edited), e.sketch)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (edited != t or r.near_edited == 1)
+        assert (r.fingerprint, r.edited_fingerprint) == (print_of(t)[0], print_of(edited)[0])
+        assert r.near_edited == alike(t, edited) and r.near_next == alike(t, after) and (edited != t or r.near_edited == 1)
         assert r.common_prefix == next((n for n, (x, y) in enumerate(zip(t, edited, strict=False)) if x != y), min(len(t), len(edited)))
         assert of_text.setdefault(t, r.fingerprint) == r.fingerprint
     assert len(set(of_text.values())) == len(of_text)
