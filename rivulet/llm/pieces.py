@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,11 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import checkpoint
+from rivulet.llm.common import checkpoint, free, pieces_of
 
 SPACE = "▁"
-#: Rows of the broadcast table of words, at most, and words that a worker keeps besides.
-TABLE, CACHE = 250_000, 400_000
+#: Rows of the broadcast table of words, at most, and bytes of words and ids that a worker keeps besides.
+TABLE, CACHE = 200_000, 24 << 20
+#: What a word costs besides, in a dictionary.
+ENTRY = 160
+#: Bytes of text that are encoded at once, and ids that are looked at at once.
+BATCH, IDS = 1 << 21, 1 << 16
 #: Code points of a word that the fold takes: its cuts are the bits of a long.
 LONGEST = 62
 #: A word: spaces and what follows, or a line's end by itself.
@@ -114,8 +119,8 @@ class Model:
             e = best[e][1]
         return out[::-1]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that aren't UTF-8 become U+FFFD, as the unknown piece does."""
+    def decode(self, ids: list[int], first: bool = True) -> str:
+        """The text of ids; bytes that aren't UTF-8 become U+FFFD, as the unknown piece does. first: whether a text begins here."""
         parts: list[str] = []
         held = bytearray()
         for i in ids:
@@ -129,7 +134,7 @@ class Model:
             parts.append("�" if i == self.unknown else self.texts[i])
         parts.append(held.decode("utf-8", "replace"))
         text = "".join(parts)
-        return (text[1:] if self.prefix and text.startswith(SPACE) else text).replace(SPACE, " ")
+        return (text[1:] if first and self.prefix and text.startswith(SPACE) else text).replace(SPACE, " ")
 
 
 @lru_cache(4)
@@ -209,88 +214,148 @@ def frequent_words(docs: DataFrame, model: Model, text: str = "text", most: int
     return {r.word: np.array(r.ids, np.int32).tobytes() for r in top.collect()}  # most rows at most
 
 
-def _encoder(path: str, table: dict[str, bytes]):
-    model, find = load(path), re.compile(WORD).findall
-    known, base = dict(table), len(table)
-
-    def encode(text: str) -> bytes:
-        nonlocal known
-        words = find(model.normalize(text))
-        ids = list(map(known.get, words))
+class _Encoder:
+    """Encodes texts by the table of words, which grows by the words that it hasn't until they have CACHE bytes."""
+
+    def __init__(self, path: str, table: dict[str, bytes]):
+        self.model, self.find, self.known = load(path), re.compile(WORD).findall, table
+        self.added: list[str] = []
+        self.room = CACHE
+
+    def __call__(self, text: str) -> bytes:
+        parts, norm = [], self.model.normalize(text)
+        for i in range(0, len(norm), BATCH):  # a long text goes word by word all the same, but not all its words at once
+            parts.append(norm[i : i + BATCH])
+        if len(parts) < 2:
+            return self._words(self.find(norm))
+        out, rest = [], ""
+        for k, part in enumerate(parts):
+            words = self.find(rest + part)
+            rest = words.pop() if k + 1 < len(parts) and words else ""  # the last word may go on in the next part
+            out.append(self._words(words))
+        return b"".join(out)
+
+    def _words(self, words: list[str]) -> bytes:
+        ids = list(map(self.known.get, words))
         if None in ids:
-            if len(known) > base + CACHE:
-                known = dict(table)
             for k, x in enumerate(ids):
                 if x is None:
-                    w = words[k]
-                    x = known.get(w)
-                    if x is None:
-                        x = np.array(model.encode_word(w), np.int32).tobytes()
-                        if len(w) <= LONGEST:
-                            known[w] = x
-                    ids[k] = x
+                    ids[k] = self._one(words[k])
         return b"".join(ids)
 
-    return encode
-
+    def _one(self, word: str) -> bytes:
+        out = self.known.get(word)
+        if out is None:
+            out = np.array(self.model.encode_word(word), np.int32).tobytes()
+            if len(word) <= LONGEST:
+                if self.room < 0:
+                    for w in self.added:
+                        del self.known[w]
+                    self.added, self.room = [], CACHE
+                self.known[word] = out
+                self.added.append(word)
+                self.room -= 4 * len(word) + len(out) + ENTRY
+        return out
 
-def _table(docs: DataFrame, path: str, text: str):
+    def decode(self, ids: bytes) -> Iterator[str]:
+        """The text of ids, in parts of IDS ids at most; none ends inside a run of bytes."""
+        all_ids, i = np.frombuffer(ids, np.int32), 0
+        while i < len(all_ids):
+            j = min(i + IDS, len(all_ids))
+            while j < len(all_ids) and int(all_ids[j]) in self.model.of_byte:
+                j += 1
+            yield self.model.decode(all_ids[i:j].tolist(), first=not i)
+            i = j
+
+    def exact(self, ids: bytes, text: str) -> bool:
+        """Whether the ids give the text back."""
+        at = 0
+        for part in self.decode(ids):
+            if not text.startswith(part, at):
+                return False
+            at += len(part)
+        return at == len(text)
+
+
+def _table(docs: DataFrame, path: str, text: str) -> tuple:
+    """The table of words for all tasks (TABLE rows at most), and a name of its own."""
     spark: SparkSession = docs.sparkSession
-    return spark.sparkContext.broadcast(frequent_words(docs, load(path), text))
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(frequent_words(docs, load(path), text))
+
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str, table: tuple) -> _Encoder:
+    """The encoder of this worker; tasks that follow each other in it share its one copy of the table."""
+    name, words = table
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = _Encoder(path, words.value)
+    return _ENCODERS[name]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False) -> DataFrame:
-    """All rows and columns of docs, and ids (array<int>); a null text has no ids.
+    """All rows and columns of docs, and ids (array<int>); a null text counts as empty, and has no ids.
 
-    check adds exact: whether decoding gives the text back (for a null text, the empty one).
+    check adds exact: whether decoding gives the text back. A column of docs that has one of these names stays, and the new
+    one has an underscore behind its name. Repeated rows are rows of their own. A text of any length is encoded and decoded
+    part by part; what grows with it is its ids.
     """
     table = _table(docs, path, text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    if check:
-        schema = schema.add("exact", "boolean")
+    names = [free("ids", docs.columns), *([free("exact", docs.columns)] if check else [])]
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, (T.ArrayType(T.IntegerType()), T.BooleanType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path, table.value)
-        for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
-            ids = list(map(enc, texts))
+        enc = _encoder(path, table)
+        for b in pieces_of(batches, text, BATCH):
+            ids, exact = [], []
+            for t in b.column(text):
+                t = t.as_py() or ""
+                ids.append(enc(t))
+                if check:
+                    exact.append(enc.exact(ids[-1], t))
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            exact = [pa.array([load(path).decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())] if check else []
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, *exact], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, *([pa.array(exact, pa.bool_())] if check else [])], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """All rows and columns, and decoded; null ids give the empty text."""
+    """All rows and columns, and decoded (decoded_ where there is a column of that name); null ids give the empty text."""
+    name = free("decoded", rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([model.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([model.decode(x.as_py() or []) for x in b.column(ids)], pa.string())], [*b.schema.names, name])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256 and exact of every row.
 
-    exact: whether decoding gives the text back; a null text counts as empty. Encoding and decoding go on in one task,
-    so the ids, which take more room than the text, aren't sent anywhere.
+    exact: whether decoding gives the text back; a null text counts as empty. Repeated rows are rows of their own; other
+    columns have no part in it. Encoding and decoding go on in one task, so the ids, which take more room than the text,
+    aren't sent anywhere.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = _table(d, path, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, model = _encoder(path, table.value), load(path)
-        for b in batches:
+        enc = _encoder(path, table)
+        for b in pieces_of(batches, "text", BATCH):
             out: list[list] = [[], [], [], []]
             for t in b.column("text"):
                 t = t.as_py()
-                ids = enc(t)
-                back = model.decode(np.frombuffer(ids, np.int32).tolist())
-                for to, v in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t), strict=True):
+                ids, back, at, same = enc(t), hashlib.sha256(), 0, True
+                for part in enc.decode(ids):
+                    back.update(part.encode())
+                    same = same and t.startswith(part, at)
+                    at += len(part)
+                for to, v in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest(), same and at == len(t)), strict=True):
                     to.append(v)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
