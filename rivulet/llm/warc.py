@@ -38,29 +38,33 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
-def _uri(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _uri(page_id: int | None, mark: str) -> str:
+    """A record's name: its page and a mark of address and payload, so that rows that share a page_id, or have none, are told apart."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{mark}>"
 
 
 def _page(uri: str) -> int | None:
-    name = uri.strip("<>").rpartition(":")[2]
+    name = uri.strip("<>").split(":")[2]
     return int(name) if name else None
 
 
 def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, payload_bytes, digest (SHA-1 in hex), revisit and refers_to of every row.
+    """page_id, url, payload, payload_bytes, digest (SHA-1 in hex), mark, revisit, refers_to and refers_mark of every row.
 
     Of rows with equal payloads of least bytes or more the one with the largest page_id is the response and the others
     revisit it; rows that repeat that page_id are responses as well. A null html is an empty payload. A null page_id is
-    never the largest unless all are null, which makes all of them responses.
+    never the largest unless all are null, which makes all of them responses. mark is a hash of address and payload: rows
+    equal in page_id and both are one record that is there several times. Payloads of any length are kept whole; other
+    columns of pages have no part in it.
     """
     d = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     d = d.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
+    d = d.withColumn("mark", F.substring(F.sha1(F.concat(F.coalesce(F.col("url"), F.lit("")), F.lit("|"), F.col("digest")).cast("binary")), 1, 16))
     # read from the shared folder, so that both sides of the join are plain exchanges and a payload of very many pages can be split
-    keep = checkpoint(d.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 AND keep IS NOT NULL").select(F.col("digest").alias("of"), "keep"))
+    keep = checkpoint(d.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "mark")).alias("last"), F.count("*").alias("n")).where("n > 1 AND last.page_id IS NOT NULL").select(F.col("digest").alias("of"), F.col("last.page_id").alias("keep"), F.col("last.mark").alias("keep_mark")))
     d = d.join(keep, (F.col("digest") == F.col("of")) & (F.col("payload_bytes") >= least), "left")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
-    return d.select("page_id", "url", "payload", "payload_bytes", "digest", revisit.alias("revisit"), F.when(revisit, F.col("keep")).alias("refers_to"))
+    return d.select("page_id", "url", "payload", "payload_bytes", "digest", "mark", revisit.alias("revisit"), F.when(revisit, F.col("keep")).alias("refers_to"), F.when(revisit, F.col("keep_mark")).alias("refers_mark"))
 
 
 def write_archives(records: DataFrame, folder: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -69,7 +73,7 @@ def write_archives(records: DataFrame, folder: str | None = None, chunk: int = C
     chunks = F.when(F.col("revisit"), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1))).cast("int")
     d = records.withColumn("chunks", chunks).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     piece = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})"))
-    d = d.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "payload_bytes", "digest", "revisit", "refers_to", "chunks", "chunk_no", piece.alias("chunk"))
+    d = d.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "payload_bytes", "digest", "mark", "revisit", "refers_to", "refers_mark", "chunks", "chunk_no", piece.alias("chunk"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -87,7 +91,7 @@ def write_archives(records: DataFrame, folder: str | None = None, chunk: int = C
                     digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
                     head = {
                         "WARC-Type": "revisit" if r["revisit"] else "response",
-                        "WARC-Record-ID": _uri(r["page_id"]),
+                        "WARC-Record-ID": _uri(r["page_id"], r["mark"]),
                         "WARC-Date": _DATE,
                         "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", r["url"].replace("%", "%25") if re.search(r"[\x00-\x20\x7f]", r["url"]) else r["url"]),
                         "WARC-Payload-Digest": f"sha1:{digest}",
@@ -95,7 +99,7 @@ def write_archives(records: DataFrame, folder: str | None = None, chunk: int = C
                         "Content-Length": str(len(http) + (0 if r["revisit"] else r["payload_bytes"])),
                     }
                     if r["revisit"]:
-                        head |= {"WARC-Profile": _REVISIT, "WARC-Refers-To": _uri(r["refers_to"])}
+                        head |= {"WARC-Profile": _REVISIT, "WARC-Refers-To": _uri(r["refers_to"], r["refers_mark"])}
                     gz, sha = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1()
                     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode()
                     out.write(gz.compress(b"WARC/1.1\r\n" + lines + CRLF + http))
