@@ -74,7 +74,9 @@ def _profile(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, learned from at most per_language whole documents of each (chosen by a hash of doc_id).
 
-    Rows without a language or a text teach nothing. What reaches the driver is size n-grams for each language.
+    Rows without a language or a text teach nothing; rows without a doc_id are in no sample. Of rows that repeat a doc_id
+    one teaches. A text of any length is counted PIECE code points at a time. What reaches the driver is size n-grams for
+    each language.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
     # first within SALTS parts of each language, so that no task sees more than its share of a common one
@@ -82,7 +84,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     for keys in (["lang", "part"], ["lang"]):
         ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= per_language).drop("k")
     chosen = ids
-    sample = d.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")  # at most per_language ids of each language
+    # of rows that repeat an id one text is in the sample, so that it has per_language texts of a language at most
+    sample = d.where("text IS NOT NULL").join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
