@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import language_id, mixing, pieces, simhash, suffix_dedup
-from rivulet.llm.common import free, shared_dir, table
+from rivulet.llm.common import drop_folder, free, shared_dir, table
 
 #: Documents go whose n-grams are this far from those of every language (1: the same profile, 0: nothing in common).
 LEAST_SCORE = 0.1
@@ -61,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
-    docs, root = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written as Parquet to the shared folder and read again; what a stage was made from goes when it is there."""
+    docs, root, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         out = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if last:
+            drop_folder(spark, last)
+        last = out
     return docs

@@ -35,6 +35,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library has written, by whatever file system its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def free(name: str, taken: list[str]) -> str:
     """A column's name that isn't taken: name, or name with as many underscores behind it as that needs."""
     while name in taken:
