@@ -340,7 +340,7 @@ def test_pieces_match_the_library(docs, empty):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.exact) for r in pieces.round_trip(docs, path).collect()}
     want = {(r[0], len(ids), hashlib.sha256(np.array(ids, np.int32).tobytes()).hexdigest(), True) for r in rows() for ids in [sp.encode(r[1] or "")]}
     assert got == want
-    table = pieces.frequent_words(docs, model)
+    table = pieces.by_word(pieces.frequent_words(docs, model))
     assert table and all(np.frombuffer(ids, np.int32).tolist() == model.encode_word(w) for w, ids in table.items())
     back = pieces.decode(pieces.encode(docs, path), path)
     assert all(r.decoded == (r.text or "") for r in back.collect())
@@ -623,3 +623,32 @@ def test_fingerprints(docs, empty, ranges):
 
 def test_repeated_ids_are_rows_of_their_own(docs):
     assert span_hashes.fingerprints(docs).count() == len(rows())
+
+
+# ---- long texts
+
+
+def test_long_texts(spark):
+    """A text beyond every bound of what is worked on at once, and its near copy."""
+    import public_tokenizers
+    import sentencepiece
+
+    long = prose(480_000, 31)
+    words = long.split(" ")
+    near = " ".join(["new", *words[1:240_000], "é中", *words[240_001:]])
+    texts = [(0, long), (1, near), (2, "short")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    assert len(long) > max(pieces.BATCH, span_hashes.PIECE, language_id.PIECE, suffix_dedup.BLOCK) and len(words) > simhash.PIECE
+    assert {r.doc_id: r.fp % (1 << 64) for r in simhash.near_duplicates(d).collect()} == {i: print_slowly(t) for i, t in texts}
+    assert {r.doc_id: r.component_id for r in simhash.similar(d).collect()} == {0: 0, 1: 0, 2: 2}
+    t = token_counts._tokenizer(path := public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(d, path).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts}
+    sp = sentencepiece.SentencePieceProcessor(model_file=(path := public_tokenizers.path("piece_bpe_32k.model")))
+    got = {r.doc_id: r for r in pieces.round_trip(d, path).collect()}
+    assert all(got[i].exact and got[i].ids_sha256 == hashlib.sha256(np.array(sp.encode(x), np.int32).tobytes()).hexdigest() for i, x in texts)
+    prints = {r.doc_id: r for r in span_hashes.fingerprints(d).collect()}
+    assert prints[0].n_chars == len(long) and prints[0].near_next > 0.9 and prints[0].common_prefix >= len(long) - len(long) // 4
+    assert prints[2].edited_sha256 == hashlib.sha256(("shor" + long[0]).encode()).hexdigest()
+    profiles = language_id.train(spark.createDataFrame([(9, long, "xx"), (8, "qqq www", "yy")], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(d.where("doc_id < 2"), profiles).collect()} == {0: "xx", 1: "xx"}
+    assert mixing.mix(d.withColumn("source", F.lit("s"))).where("doc_id = 0").first().size == len(words)
