@@ -51,6 +51,11 @@ class Relation:
     frame: DataFrame | None
     grouped: Grouped | None = None
 
+    @property
+    def lazy(self) -> bool:
+        """Whether it is a group whose bags nothing has asked for."""
+        return self.frame is None
+
     @property
     def df(self) -> DataFrame:
         if self.frame is None:

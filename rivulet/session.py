@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet import explain as explain_
@@ -135,10 +136,38 @@ class Session:
             self.load(script, parameters)
         waiting, self.actions = self.actions, []
         with settings(self.spark):
-            for step in waiting:
-                self._act(step)
+            kept = [self.planner.df(x).persist(StorageLevel.DISK_ONLY) for x in self._shared(waiting)] if self.config.flag("share") else []
+            try:
+                for step in waiting:
+                    self._act(step)
+            finally:
+                for df in kept:
+                    df.unpersist()
         return self
 
+    def _shared(self, waiting: list[Step]) -> list[str]:
+        """With the setting share: relations behind a shuffle that several sinks are made of, the last such on each way to a sink."""
+        made: dict[str, list[str]] = {}
+        heavy: set[str] = set()
+        for step in self.steps:
+            names = [n for n, _ in step.args["branches"]] + [step.args["otherwise"]] if step.verb == "split" else [step.alias]
+            for name in filter(None, names):
+                made[name] = explain_.inputs(step)
+                if step.verb in ("group", "cogroup", "join", "cross", "distinct", "order", "rank", "cube", "intersect", "except", "stream") or heavy & {*made[name]}:
+                    heavy.add(name)
+
+        def behind(alias: str, found: set[str]) -> set[str]:
+            if alias not in found:
+                found.add(alias)
+                for x in made.get(alias, []):
+                    behind(x, found)
+            return found
+
+        sinks_of = [behind(step.args["of"], set()) for step in waiting if step.verb in ("dump", "store")]
+        shared = {x for x in heavy if sum(x in s for s in sinks_of) > 1 and not self.planner.get(x).lazy and not self.planner.df(x).isStreaming}
+        used_by_shared = {y for x in shared for y in made.get(x, [])}
+        return sorted(shared - used_by_shared)
+
     def _act(self, step: Step) -> None:
         alias, using = step.args["of"], step.args.get("using")
         using = self.planner.aliases.get(using[0], using) if using else None

@@ -226,6 +226,18 @@ def test_registered_aggregate_needs_a_group(spark, sf):
         s.load("out = FOREACH f GENERATE Squares(nation.n_nationkey);")
 
 
+@pytest.mark.parametrize("share", ["true", "false"])
+def test_sinks_share_what_they_are_made_of(spark, sf, tmp_path, share):
+    s = Session(spark)
+    s.load(f"SET share '{share}'; n = LOAD '{sf}/nation.parquet'; g = GROUP n BY n_regionkey; c = FOREACH g GENERATE group AS r, COUNT(n) AS k; a = FILTER c BY r < 2; b = FILTER c BY r > 2; STORE a INTO '{tmp_path}/a'; STORE b INTO '{tmp_path}/b';")
+    assert s._shared(s.actions) == ["c"]
+    seen, act = [], s._act
+    s._act = lambda step: (seen.append("InMemoryTableScan" in explain.text(s.planner.df(step.args["of"]).where("true"))), act(step))
+    s.run()
+    assert seen == [share == "true"] * 2
+    assert sorted(r.value for x in "ab" for r in spark.read.text(f"{tmp_path}/{x}").collect()) == ["0\t5", "1\t5", "3\t5", "4\t5"]
+
+
 def test_macros():
     text = "DEFINE two(a) RETURNS b { x = FILTER $a BY k > 1;\n $b = LIMIT x 2; };\nDEFINE four(a) RETURNS b { y = two($a); $b = UNION y, y; };\nr = four(t); q = two(r);"
     got = macros(text)
