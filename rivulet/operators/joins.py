@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 REPLICATE_LIMIT = 64 << 20
 
 
-def small(df: DataFrame, limit: int = REPLICATE_LIMIT) -> bool:
+def small(df: DataFrame, limit: int | None = None) -> bool:
+    limit = REPLICATE_LIMIT if limit is None else limit
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
@@ -24,12 +25,15 @@ def join(frames: list[tuple[DataFrame, list[Column]]], kind: str = "inner", how:
     """Joins inputs (frame and key columns, with distinct column names) from the left.
 
     how: replicated sends every input but the first to all tasks, as long as its estimated size is within
-    REPLICATE_LIMIT, and is a plain join beyond it; merge and merge-sparse sort both sides; skewed leaves hot keys to
-    adaptive execution, as does none.
+    REPLICATE_LIMIT, and is a plain join beyond it; merge and merge-sparse sort both sides; skewed does as replicated, and
+    beyond the limit deals the rows of frequent keys to several tasks; without it hot keys are left to adaptive execution.
     """
     out, keys = frames[0]
     for df, other in frames[1:]:
-        if how == "replicated" and small(df):
+        if how == "skewed" and kind in ("inner", "left") and not null_safe and not out.isStreaming and not df.isStreaming and not small(df):
+            out = skewed(out, keys, df, other, kind)
+            continue
+        if how in ("replicated", "skewed") and small(df):
             df = F.broadcast(df)
         elif how in ("merge", "merge-sparse"):
             df = df.hint("merge")
@@ -37,5 +41,29 @@ def join(frames: list[tuple[DataFrame, list[Column]]], kind: str = "inner", how:
     return out
 
 
+def skewed(left: DataFrame, keys: list[Column], right: DataFrame, other: list[Column], kind: str, parts: int | None = None) -> DataFrame:
+    """An inner or left join in which the left rows of a frequent key are dealt to parts tasks, and its right rows copied to each.
+
+    A key is frequent if it has more than a task's share of the left rows, so there are fewer frequent keys than tasks: they
+    are what is sent everywhere. Counting them is a pass over the left keys. Rows are dealt by a hash of all their columns,
+    so a task that runs again deals them alike.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(2, tasks)
+    names = [f"__h{i}" for i in range(len(keys))]
+    counts = left.groupBy(*(k.alias(n) for k, n in zip(keys, names, strict=True))).agg(F.count("*").alias("__n"))
+    share = left.agg(F.count("*").alias("__all"))
+    hot = counts.join(F.broadcast(share), F.col("__n") * tasks > F.col("__all")).select(*names, F.lit(True).alias("__hot"))  # one row; then fewer than tasks
+
+    def marked(df: DataFrame, of: list[Column]) -> DataFrame:
+        return df.join(F.broadcast(hot), equal(of, [F.col(n) for n in names]), "left").drop(*names)
+
+    deal = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t and "variant" not in t)), F.lit(parts)).cast("int")
+    a = marked(left, keys).withColumn("__part", F.when(F.col("__hot"), deal).otherwise(0)).drop("__hot")
+    copies = F.sequence(F.lit(0), F.when(F.col("__hot"), parts - 1).otherwise(0))
+    b = marked(right, other).withColumn("__copy", F.explode(copies)).drop("__hot")
+    return a.join(b, equal(keys, other) & (F.col("__part") == F.col("__copy")), {"left": "left_outer"}.get(kind, kind)).drop("__part", "__copy")
+
+
 def cross(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), frames)

@@ -106,8 +106,21 @@ def kafka_tap(spark: SparkSession, path: str, args: list, schema: T.StructType |
     return from_lines(reader.load().select(F.col("value").cast("string").alias("value")), args[0] if args else "\t", schema or T.StructType().add("_0", "string"))
 
 
+def jdbc_tap(spark: SparkSession, path: str, args: list, schema: T.StructType | None, stream: bool) -> DataFrame:
+    """A table of a database; path is its address. Arguments: the table, and if several tasks are to read it a numeric column, its bounds and their number.
+
+    Needs the database's driver on the class path.
+    """
+    if stream:
+        raise FlowError("a database isn't a stream", 1002)
+    reader = spark.read.format("jdbc").option("url", path).option("dbtable", args[0])
+    for name, value in zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), args[1:], strict=False):
+        reader = reader.option(name, value)
+    return apply_schema(reader.load(), schema)
+
+
 TAPS: dict[str, Callable] = {
-    "TextLines": text_tap, "PackageResource": resource_tap, "ConstantTuples": constant_tap, "CSV": csv_tap, "Rate": rate_tap, "Kafka": kafka_tap,
+    "TextLines": text_tap, "PackageResource": resource_tap, "ConstantTuples": constant_tap, "CSV": csv_tap, "Rate": rate_tap, "Kafka": kafka_tap, "JDBC": jdbc_tap,
     "Parquet": _file("parquet"), "ORC": _file("orc"), "JSON": _file("json"),
 }
 

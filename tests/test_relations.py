@@ -268,6 +268,34 @@ def test_observed(spark):
     assert o.get == {"rows": 7}
 
 
+@pytest.mark.parametrize("kind", ["inner", "left"])
+def test_skewed_join(spark, monkeypatch, kind):
+    from pyspark.sql import functions as F
+
+    from rivulet.operators import joins
+
+    left = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 50).alias("a"), F.col("id").alias("v"))
+    right = spark.range(60).select((F.col("id") % 30).alias("b"), F.col("id").alias("w"))
+    want = left.join(right, F.col("a") == F.col("b"), {"left": "left_outer"}.get(kind, kind))
+    monkeypatch.setattr(joins, "REPLICATE_LIMIT", 0)
+    got = joins.join([(left, [F.col("a")]), (right, [F.col("b")])], kind, "skewed")
+    assert got.columns == ["a", "v", "b", "w"] and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    spread = joins.skewed(left, [F.col("a")], right, [F.col("b")], kind, 5)
+    assert spread.exceptAll(want).count() == 0 and spread.count() == want.count()
+
+
+def test_rate_tap(spark):
+    kept = sinks.ListDumper()
+    s = Session(spark, stream=True, config={"trigger": "0 seconds"})
+    s.register_dumper("Keep", lambda: kept)
+    s.run("t = TAP 'x' USING Rate(50); f = FOREACH t GENERATE value * 2L AS v; DUMP f USING Keep();")
+    try:
+        until(lambda: len(kept.rows) >= 3)
+    finally:
+        s.stop()
+    assert all(v % 2 == 0 for (v,) in kept.rows)
+
+
 def test_rank_over_many_tasks(spark):
     from pyspark.sql import functions as F
 
