@@ -121,7 +121,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """doc_id, source, size, source_size, target, taken and shards of every row.
 
     shards lists the output shard of each time that the mix takes the document; taken is its size times their number.
-    Empty and null texts have size 0 and count for nothing; a null source is a source, a null id an id like any other.
+    Texts of any length are counted whole. Empty and null texts have size 0 and count for nothing; a null source is a source, a null id an id like any other.
     Rows with the same id and source share a block and are taken as often as their place in it says. Other columns of
     docs have no part in it, but that marked adds mark, which rows equal in id, source and text have in common.
     """
