@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 PROFILE = 400
 #: Bound of the sample that profiles are learned from: so many whole documents of each language.
 TRAIN_PER_LANGUAGE = 500
-#: Parts of a language that the sample is first drawn from; the second draw sees SALTS * TRAIN_PER_LANGUAGE ids at most.
-SALTS = 16
+#: How many times as many ids as it needs the draw of a language sees, about: too few is as unlikely as a hash that isn't even.
+MARGIN = 4
 #: Code points whose n-grams are counted at once, so that a very long text needs bounded memory.
 PIECE = 1 << 20
 BLANK = 1
@@ -79,13 +79,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     each language.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
-    # first within SALTS parts of each language, so that no task sees more than its share of a common one
-    ids = d.where("text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(SALTS)))
-    for keys in (["lang", "part"], ["lang"]):
-        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= per_language).drop("k")
-    chosen = ids
-    # of rows that repeat an id one text is in the sample, so that it has per_language texts of a language at most
-    sample = d.where("text IS NOT NULL").join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    # ids below a hash that leaves MARGIN times as many as are needed, and of those the smallest: no task sees a common language's ids
+    ids = d.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
+    rows = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language, as profiles have
+    bounds = [(k, min((1 << 63) - 1, (MARGIN * per_language << 63) // n)) for k, n in rows.items()]
+    below = F.broadcast(docs.sparkSession.createDataFrame(bounds, "of string, bound long"))
+    ids = ids.join(below, (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("bound"))).select("doc_id", "lang", "h").distinct()
+    chosen = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
+    # at most per_language ids of each language are sent everywhere; of rows that repeat an id one text is in the sample, so that it has per_language texts of a language at most
+    sample = d.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
