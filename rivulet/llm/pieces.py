@@ -197,8 +197,8 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     return d.select("word", F.expr(ids).alias("ids"))
 
 
-def frequent_words(docs: DataFrame, model: Model, text: str = "text", most: int = TABLE) -> dict[str, bytes]:
-    """The encoded words of the corpus, from the most frequent down, as many whole classes of frequency as fit into most rows.
+def frequent_words(docs: DataFrame, model: Model, text: str = "text", most: int = TABLE) -> pa.Table:
+    """word and ids: the encoded words of the corpus, from the most frequent down, as many whole classes of frequency as fit into most rows.
 
     All texts are counted. Words that are seen once, are too long for the fold or begin with several spaces are left
     to the workers.
@@ -210,8 +210,17 @@ def frequent_words(docs: DataFrame, model: Model, text: str = "text", most: int
         if fit + r.words > most:
             break
         fit, least = fit + r.words, r["class"]
-    top = encode_words(n.where(F.col("class") >= least).select("word"), model)
-    return {r.word: np.array(r.ids, np.int32).tobytes() for r in top.collect()}  # most rows at most
+    return encode_words(n.where(F.col("class") >= least).select("word"), model).toArrow()  # most rows at most
+
+
+def by_word(table: pa.Table) -> dict[str, bytes]:
+    """The ids of each word as bytes."""
+    out: dict[str, bytes] = {}
+    for b in table.to_batches():
+        ids = b.column("ids")
+        ends, raw = ids.offsets.to_numpy() * 4, ids.values.to_numpy().astype(np.int32).tobytes()
+        out.update(zip(b.column("word").to_pylist(), (raw[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)), strict=True))
+    return out
 
 
 class _Encoder:
@@ -291,7 +300,7 @@ def _encoder(path: str, table: tuple) -> _Encoder:
     name, words = table
     if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name] = _Encoder(path, words.value)
+        _ENCODERS[name] = _Encoder(path, by_word(words.value))
     return _ENCODERS[name]
 
 
