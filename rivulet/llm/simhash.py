@@ -118,17 +118,24 @@ def _sketched(similarity: float):
         marks = np.frombuffer(b"".join(both.field("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
         n, shift = len(a), 0 if b is None else len(a)
         found: list[list[np.ndarray]] = [[], [], []]
+        label = np.arange(len(fp))  # what pairs that are surely similar join: no further pair is needed there
         rows = max(1, (1 << 21) // max(1, len(fp) - shift))
         for i in range(0, n, rows):
             x, y = np.nonzero(np.bitwise_count(fp[i : min(n, i + rows), None] ^ fp[None, shift:]) <= radius)
             x, y = x + i, y + shift
-            x, y = (x[x < y], y[x < y]) if b is None else (x, y)
-            for k in range(0, len(x), 100_000):
-                p, q = marks[x[k : k + 100_000]], marks[y[k : k + 100_000]]
+            keep = label[x] != label[y] if b is not None else (x < y) & (label[x] != label[y])
+            x, y = x[keep], y[keep]
+            while len(x):
+                p, q = marks[x[:100_000]], marks[y[:100_000]]
                 like = ((p == q) & (p > 0)).sum(1) / np.maximum(((p > 0) | (q > 0)).sum(1), 1)
                 keep = like >= similarity - SLACK
-                for to, v in zip(found, (x[k : k + 100_000][keep], y[k : k + 100_000][keep], like[keep]), strict=True):
+                for to, v in zip(found, (x[:100_000][keep], y[:100_000][keep], like[keep]), strict=True):
                     to.append(v)
+                sure = like >= similarity + SLACK / 2
+                label = local_roots(len(fp), x[:100_000][sure], y[:100_000][sure], label)
+                x, y = x[100_000:], y[100_000:]
+                keep = label[x] != label[y]
+                x, y = x[keep], y[keep]
             if sum(map(len, found[0])) > 1 << 21:  # a large group: its forest so far stands for all its pairs
                 found = [[v] for v in _best(len(fp), *map(np.concatenate, found))]
         x, y, _ = _best(len(fp), *map(np.concatenate, found)) if found[0] else (np.zeros(0, np.int64),) * 3
@@ -231,13 +238,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whose doc_id is component_id; of repeated rows with that id all are marked). Documents with one fingerprint are one
     node of the graph, so copies cost one row each and nothing more. Null texts and those without words share the
     fingerprint 0, which links like any other; rows with a null doc_id never give a component its id unless all are null.
+    Repeated rows are rows of their own, as are rows that share an id; other columns of docs have no part in it. A text of
+    any length is taken whole, PIECE shingles at a time.
     """
     d = checkpoint(fingerprints(docs, doc_id, text, shingle))
     nodes = checkpoint(d.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(nodes, radius, tile))
     nodes = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = checkpoint(nodes)
-    named = checkpoint(nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
+    # read from the shared folder, so that both sides of the join are plain exchanges and a large component can be split
+    least = checkpoint(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = checkpoint(nodes.join(least, "root").select("fp", "component_id"))
     return d.join(named, "fp").select("doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
 
 
@@ -374,7 +385,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     length is one set of hashes in a task, eight bytes a word. Other columns of docs have no part in it.
     """
     d, nodes = _similar(docs, doc_id, text, shingle, similarity, radius, tile)
-    least = nodes.groupBy("root").agg(F.min("first").alias("least"))
+    least = checkpoint(nodes.groupBy("root").agg(F.min("first").alias("least")))
     named = checkpoint(nodes.join(least, "root").select(F.col("digest").alias("set"), F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("kept")))
     out = d.join(named, F.col("digest") == F.col("set"))
     return out.select("doc_id", "component_id", (F.col("mark") == F.col("kept")).alias("first"))
