@@ -249,7 +249,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     root = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "n2")
     named = nodes.drop("blob").join(far, F.col("node") == F.col("n1"), "left").join(root, F.col("node") == F.col("n2"), "left")
     named = checkpoint(named.select(F.col("digest").alias("of"), "least", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    least = checkpoint(named.groupBy("root").agg(F.min("least").alias("component")))  # so that a large component can be split
     out = d.select("vec_id", "digest").join(named.join(least, "root").select("of", "links", "component"), F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
