@@ -338,7 +338,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = {"TextLines": "", "CSV": ".csv", "JSON": ".json", "ORC": ".orc", "Parquet": ".parquet"}
     s = session(spark)
     s.run(f"n = LOAD '{sf_dir}/nation.parquet'; " + "".join(f"STORE n INTO '{where}/{k}{end}'; " for k, end in forms.items()))
-    s.load("".join(f"t_{k} = TAP '{where}/{k}{end}'" + (" AS (n_nationkey:int, n_name:chararray, n_regionkey:int)" if k in ("TextLines", "CSV") else "") + f"; x_{k} = FOREACH t_{k} GENERATE '{k}' AS form, n_nationkey, n_name, n_regionkey; " for k, end in forms.items()))
+    s.load("".join(f"t_{k} = TAP '{where}/{k}{end}'" + (" AS (n_nationkey:int, n_name:chararray, n_regionkey:int)" if k in ("TextLines", "CSV") else "") + f"; x_{k} = FOREACH t_{k} GENERATE '{k}' AS form, (int)n_nationkey AS n_nationkey, n_name, (int)n_regionkey AS n_regionkey; " for k, end in forms.items()))
     return s.load("out = UNION ONSCHEMA " + ", ".join(f"x_{k}" for k in forms) + ";").relation("out")
 
 
