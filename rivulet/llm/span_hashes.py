@@ -101,6 +101,17 @@ def common_extension(a: Prefix, i: int, b: Prefix, j: int) -> int:
     return low
 
 
+def _least(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of two sorted arrays of distinct numbers, each once."""
+    if not len(a) or not len(b):
+        return a if len(a) else b
+    both = np.concatenate([a, b])
+    both.sort()
+    keep = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=keep[1:])
+    return both[keep][:size]
+
+
 def sketch(hashes: Iterable[np.ndarray], size: int = SKETCH) -> np.ndarray:
     """The smallest distinct hashes, cut to 32 bits."""
     out = np.zeros(0, np.uint32)
@@ -109,14 +120,20 @@ def sketch(hashes: Iterable[np.ndarray], size: int = SKETCH) -> np.ndarray:
         if len(h) > 4 * size:
             some = np.unique(np.partition(h, 4 * size)[: 4 * size])
             h = some if len(some) >= size else np.unique(h)
-        out = np.union1d(out, h)[:size]
+        else:
+            h = np.unique(h)
+        out = _least(out, h[:size], size)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Share of common spans, from two sketches: of the smallest hashes of both, those that are in each."""
-    both = np.union1d(a, b)[:size]
-    return float((np.isin(both, a) & np.isin(both, b)).sum() / len(both))
+    both = np.concatenate([a, b])
+    both.sort()
+    again = np.zeros(len(both), bool)
+    np.equal(both[1:], both[:-1], out=again[1:])
+    least = both[~again][:size]
+    return float(np.searchsorted(both[again], least[-1], side="right") / len(least))
 
 
 def _text(whole: tuple[int, ...], n: int, s: np.ndarray) -> str:
@@ -135,8 +152,13 @@ class _Document:
         self.prefix, n = Prefix(self.codes), len(self.codes)
         self.kept = n - n // 4
         shared = max(0, self.kept - span + 1) if n >= span else 0
-        self.front = sketch(self.prefix.spans(span, 0, shared), size) if shared else np.zeros(0, np.uint32)
-        self.sketch = np.union1d(self.front, sketch(self.prefix.spans(span, shared), size))[:size]
+        if n <= PIECE:  # one pass for both parts
+            hashes = next(self.prefix.spans(span))
+            front, rest = [hashes[:shared]], [hashes[shared:]]
+        else:
+            front, rest = self.prefix.spans(span, 0, shared), self.prefix.spans(span, shared)
+        self.front = sketch(front, size)
+        self.sketch = _least(self.front, sketch(rest, size), size)
         self.whole = self.prefix.span(0, self.prefix.n)
 
     def against(self, other: "_Document", span: int = SPAN, size: int = SKETCH) -> tuple:
@@ -144,13 +166,12 @@ class _Document:
         head = other.codes[: n - kept]
         if kept >= span:  # only the spans from the seam on are new
             tail = Prefix(np.concatenate([self.codes[kept - span + 1 : kept], head]))
-            new = sketch(tail.spans(span), size) if tail.n >= span else np.zeros(0, np.uint32)
-            edited = np.union1d(self.front, new)[:size]
+            edited = _least(self.front, sketch(tail.spans(span), size), size) if tail.n >= span else self.front
         else:
             edited = sketch(Prefix(np.concatenate([self.codes[:kept], head])).spans(span), size)
         whole = tuple((a + b * pow(base, kept, P)) % P for a, b, base in zip(self.prefix.span(0, kept), other.prefix.span(0, len(head)), BASES, strict=True))
         text = self.text[:kept] + other.text[: n - kept]
-        common = kept + common_extension(self.prefix, kept, Prefix(head), 0)
+        common = kept + common_extension(self.prefix, kept, other.prefix, 0)
         return (
             self.doc_id, n, hashlib.sha256(text.encode()).hexdigest(), _text(self.whole, n, self.sketch), _text(whole, len(text), edited),
             likeness(self.sketch, edited, size), likeness(self.sketch, other.sketch, size), common,
