@@ -25,8 +25,10 @@ TILE = 8192
 #: Of similar(): bits within which texts of that similarity are found, slots of a MinHash sketch, and how far below the
 #: similarity a sketch may be for the texts to be compared.
 WIDE_RADIUS, SLOTS, SLACK = 20, 64, 0.15
-#: Its tiles hold sketches too and nearly all pairs of them meet, so fewer and larger ones move less.
+#: Its tiles are of rows that share some slots. All pairs of a key's tiles meet, so fewer and larger ones move less.
 WIDE_TILE = 32768
+#: Rows of a key, at most, for it to be compared together with other keys.
+FEW = 64
 #: Shingles of the texts that meet in one task when a group is compared pair by pair, about.
 MEET = 1 << 19
 SEED = 42
@@ -109,39 +111,115 @@ def _plain(a: pa.Array, b: pa.Array | None, radius: int) -> tuple[np.ndarray, np
     return x.view(np.int64), y.view(np.int64)
 
 
-def _sketched(similarity: float):
-    """A forest over pairs within the radius whose sketches are as similar, the most similar pairs first."""
-
-    def forest(a: pa.Array, b: pa.Array | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        both = a if b is None else pa.concat_arrays([a, b])
-        fp, node = both.field("fp").to_numpy().view(np.uint64), both.field("node").to_numpy()
-        marks = np.frombuffer(b"".join(both.field("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        n, shift = len(a), 0 if b is None else len(a)
-        found: list[list[np.ndarray]] = [[], [], []]
-        label = np.arange(len(fp))  # what pairs that are surely similar join: no further pair is needed there
-        rows = max(1, (1 << 21) // max(1, len(fp) - shift))
-        for i in range(0, n, rows):
-            x, y = np.nonzero(np.bitwise_count(fp[i : min(n, i + rows), None] ^ fp[None, shift:]) <= radius)
-            x, y = x + i, y + shift
-            keep = label[x] != label[y] if b is not None else (x < y) & (label[x] != label[y])
+def _slots(least: float):
+    """Keys of sketches: their runs of so few slots that two sketches as alike as least are equal in a run that isn't empty.
+
+    Of the slots that either fills, more than 1 - least differ in no such pair, and each spoils one run. If every run with an
+    equal slot were spoilt, the equal slots would be (length - 1) (1 - least) of them at most, which is less than least.
+    """
+    length = 1
+    while length < 7 and length * (1 - least) < least - 1e-9:
+        length += 1
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if least <= 0:  # sketches with nothing in common are as alike
+            return np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
+        marks = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int64)
+        rows, found = [], []
+        for k, i in enumerate(range(0, SLOTS, length)):
+            value = np.zeros(len(marks), np.int64)
+            for j in range(i, min(SLOTS, i + length)):
+                value = value << 8 | marks[:, j]
+            rows.append(np.flatnonzero(value))
+            found.append(value[rows[-1]] << 7 | k)
+        return np.concatenate(rows), np.concatenate(found)
+
+    return keys
+
+
+def _dealt(nodes: DataFrame, keys, tile: int) -> DataFrame:
+    """key, first, alone, node and fp: a row for every key of a node, sorted by key within partitions.
+
+    Nodes meet that share a key. A key of many rows is cut into tiles of about tile rows, and all pairs of its tiles meet
+    under keys of their own: rows that are first with the others, and all rows of a key that is alone with each other.
+    """
+    spark = nodes.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, key = keys(b)
+            for i in range(0, len(at), 1 << 18):
+                rows = pa.array(at[i : i + (1 << 18)])
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)]), b.column("node").take(rows), b.column("fp").take(rows)], ["key", "node", "fp"])
+
+    d = nodes.mapInArrow(run, "key long, node long, fp long")
+    some = max(1, min(16, tile // 64))  # of so many nodes one is counted: that decides how a key is cut and nothing else
+    many = d.where(F.pmod(F.xxhash64("node"), F.lit(some)) == 0).groupBy("key").agg((F.count("*") * some).alias("n")).where(F.col("n") > tile)
+    many = many.select(F.col("key").alias("cut"), F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    d = d.join(F.broadcast(many), F.col("key") == F.col("cut"), "left")
+    d = d.withColumn("own", F.coalesce(F.expr("pmod(xxhash64(node), parts)"), F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    d = d.select(key.alias("key"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("alone"), "node", "fp")
+    return d.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "node")
+
+
+def _met(t: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of whole keys that meet and whose fingerprints are within the radius, as pairs of indices, many at a time."""
+    key, first, alone, fp = (t.column(c).to_numpy() for c in ("key", "first", "alone", "fp"))
+    fp = fp.view(np.uint64)
+    cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    sizes = np.diff(cuts)
+    few = (sizes <= FEW) & alone[cuts[:-1]].astype(bool)
+    end = np.repeat(np.where(few, cuts[1:], 0), sizes)
+    at, step = np.arange(len(key)), 1
+    while len(at := at[at + step < end[at]]):  # every row and the step-th after it, of all small keys at once
+        x = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+        yield x, x + step
+        step += 1
+    for k in np.flatnonzero(~few & (sizes > 1)):
+        i, j = int(cuts[k]), int(cuts[k + 1])
+        to = i + np.argsort(~first[i:j].astype(bool), kind="stable")
+        split = 0 if alone[i] else int(first[i:j].sum())
+        f, n = fp[to], split or j - i
+        rows = max(1, (1 << 21) // (j - i))
+        for i in range(0, n if alone[cuts[k]] else split, rows):
+            least = split or i  # inside a key only the rows behind are left
+            x, y = np.nonzero(np.bitwise_count(f[i : min(n, i + rows), None] ^ f[None, least:]) <= radius)
+            x, y = x + i, y + least
+            keep = x < y
+            yield to[x[keep]], to[y[keep]]
+
+
+def _alike(marks: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    p, q = marks[x], marks[y]
+    return ((p == q) & (p > 0)).sum(1) / np.maximum(((p > 0) | (q > 0)).sum(1), 1)
+
+
+def _likely(t: pa.Table, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over pairs that meet within the radius and whose sketches are as similar, the most similar pairs first."""
+    ids, first, of = np.unique(t.column("node").to_numpy(), return_index=True, return_inverse=True)
+    marks = np.frombuffer(b"".join(t.column("sketch").take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, SLOTS)
+    n, label = len(ids), np.arange(len(ids))  # label: what pairs that are surely similar join: no further pair is needed there
+    found: list[list[np.ndarray]] = [[], [], []]
+    for x, y in _met(t, radius):
+        x, y = of[x], of[y]
+        keep = label[x] != label[y]
+        x, y = x[keep], y[keep]
+        while len(x):
+            a, b = x[:100_000], y[:100_000]
+            like = _alike(marks, a, b)
+            keep = like >= similarity - SLACK
+            for to, v in zip(found, (a[keep], b[keep], like[keep]), strict=True):
+                to.append(v)
+            sure = like >= similarity + SLACK / 2
+            label = local_roots(n, a[sure], b[sure], label)
+            x, y = x[100_000:], y[100_000:]
+            keep = label[x] != label[y]
             x, y = x[keep], y[keep]
-            while len(x):
-                p, q = marks[x[:100_000]], marks[y[:100_000]]
-                like = ((p == q) & (p > 0)).sum(1) / np.maximum(((p > 0) | (q > 0)).sum(1), 1)
-                keep = like >= similarity - SLACK
-                for to, v in zip(found, (x[:100_000][keep], y[:100_000][keep], like[keep]), strict=True):
-                    to.append(v)
-                sure = like >= similarity + SLACK / 2
-                label = local_roots(len(fp), x[:100_000][sure], y[:100_000][sure], label)
-                x, y = x[100_000:], y[100_000:]
-                keep = label[x] != label[y]
-                x, y = x[keep], y[keep]
-            if sum(map(len, found[0])) > 1 << 21:  # a large group: its forest so far stands for all its pairs
-                found = [[v] for v in _best(len(fp), *map(np.concatenate, found))]
-        x, y, _ = _best(len(fp), *map(np.concatenate, found)) if found[0] else (np.zeros(0, np.int64),) * 3
-        return node[x], node[y]
-
-    return forest
+        if sum(map(len, found[0])) > 1 << 21:  # a large group: its forest so far stands for all its pairs
+            found = [[v] for v in _best(n, *map(np.concatenate, found))]
+    x, y, _ = _best(n, *map(np.concatenate, found)) if found[0] else (np.zeros(0, np.int64),) * 3
+    return ids[x], ids[y]
 
 
 def _best(n: int, x: np.ndarray, y: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,6 +262,10 @@ def _tree(n: int, label: np.ndarray, x: np.ndarray, y: np.ndarray, some: np.ndar
     return np.array(out, np.int64)
 
 
+def _link(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
 def _bands(counts: list[int], tile: int) -> list[tuple[int, int, int]]:
     """Runs of population counts as (first, last, tiles): a run has tile rows at most, or is one count cut into tiles."""
     out: list[tuple[int, int, int]] = []
@@ -231,6 +313,32 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, forest=None, o
     return pairs.mapInArrow(compare, "a long, b long")
 
 
+def proposed(nodes: DataFrame, similarity: float, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
+    """a and b: pairs of nodes (node, fp, sketch) within the radius, with sketches as similar less SLACK, that join what all such pairs join.
+
+    They meet under the runs of their sketches' slots, in one of which any such pair is equal. Rows that are near to another
+    one under their key get their sketches then, so that the others are moved as three numbers.
+    """
+    d = _dealt(nodes.select("node", "fp", "sketch"), _slots(similarity - SLACK), tile)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "key", 1 << 15):
+            some = np.zeros(t.num_rows, bool)
+            for x, y in _met(t, radius):
+                some[x] = some[y] = True
+            yield from t.select(["key", "first", "alone", "node"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "key", 1 << 15):
+            x, y = _likely(t, radius, similarity)
+            if len(x):
+                yield _link(x, y)
+
+    d = d.mapInArrow(near, "key long, first boolean, alone boolean, node long").withColumnRenamed("node", "n2")
+    d = d.join(nodes.select("node", "fp", "sketch"), F.col("n2") == F.col("node")).select("key", "first", "alone", "node", "fp", "sketch")
+    return d.repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id and first of every row.
 
@@ -356,7 +464,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity:
     d = checkpoint(plain.mapInArrow(run, "doc_id long, mark string, fp long, sketch binary, digest binary"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "mark"))
     nodes = checkpoint(d.groupBy("digest").agg(least.alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
-    pairs = checkpoint(links(nodes.withColumn("item", F.struct("fp", "node", "sketch")), radius, tile, _sketched(similarity), "item").distinct())
+    pairs = checkpoint(proposed(nodes, similarity, radius, tile))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     of = ends.join(nodes, "node").select("node", F.col("first.mark").alias("of"))
     grams = plain.select("mark", "text").join(of, F.col("mark") == F.col("of")).select("node", "text").mapInArrow(sets, "node long, grams array<long>")

@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -477,6 +478,41 @@ def test_similar_proposes_pairs_at_the_limit():
     assert np.mean(found) >= 0.99
 
 
+def meeting(d):
+    """How many pairs of rows have a key in common, counted for each such key."""
+    keys = [k for (k,) in d.select("key").collect()]
+    n = np.unique(keys, return_counts=True)[1]
+    return (n * (n - 1) // 2).sum()
+
+
+def test_similar_meets_few_pairs(spark):
+    """Unlike texts hardly meet, so that the work doesn't grow with the square of their number; like ones are all proposed."""
+    r = np.random.default_rng(4)
+    marks, sets = [], [r.integers(0, 1 << 63, 400, dtype=np.uint64) for _ in range(3000)]
+    sets += [np.concatenate([h[:380], r.integers(0, 1 << 63, 20, dtype=np.uint64)]) for h in sets[:200]]  # 0.905 alike
+    for i, h in enumerate(map(np.unique, sets)):
+        marks.append((i, simhash.combined(iter([h])), simhash.sketch(h)))
+    d = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64)), bytearray(m)) for i, f, m in marks], "node long, fp long, sketch binary")
+    assert meeting(simhash._dealt(d, simhash._slots(0.8 - simhash.SLACK), 8192)) < 0.01 * len(sets) ** 2 / 2
+    assert {tuple(q) for q in simhash.proposed(d, 0.8).collect()} == {(i, 3000 + i) for i in range(200)}
+
+
+@pytest.mark.parametrize("filled", [1, 2, 3, 10, 40, 63, 64])
+def test_sketches_as_alike_share_a_key(filled):
+    r = np.random.default_rng(filled)
+    for least in (0.35, 0.5, 0.65, 0.8):
+        for _ in range(50):
+            p, q = np.zeros((2, simhash.SLOTS), np.uint8)
+            at = r.permutation(simhash.SLOTS)[:filled]
+            p[at] = q[at] = r.integers(1, 256, filled)
+            other = np.sort(at)[:: max(1, round(1 / (1 - least)))] if r.random() < 0.5 else r.permutation(at)  # one in each run, or any
+            for k in other[: int((1 - least) * filled + 1e-9)]:
+                q[k] = (0, q[k] % 255 + 1)[int(r.integers(2))]
+            like = ((p == q) & (p > 0)).sum() / ((p > 0) | (q > 0)).sum()
+            rows, keys = simhash._slots(least)(pa.RecordBatch.from_pydict({"sketch": [p.tobytes(), q.tobytes()]}))
+            assert like >= least - 1e-9 and set(keys[rows == 0]) & set(keys[rows == 1])
+
+
 def test_similar_with_repeats(spark):
     texts = []
     for k in range(8):
