@@ -1,9 +1,10 @@
 """SimHash near-duplicates by a tiled exact comparison of fingerprints.
 
-Distinct fingerprints are dealt into tiles by their population count and a hash, each tile within a bound of rows. Two
-fingerprints within the radius have population counts that differ by the radius at most, so only such tile pairs meet;
-there numpy compares every fingerprint to every other by exclusive or and bit count. A tile pair returns a spanning
-forest of its links rather than all of them: as many rows as fingerprints, and the same components.
+Distinct fingerprints are dealt by their blocks of bits, one more than the radius. Two fingerprints within the radius are
+equal in one block at least, so only those that share a block meet; a block's value that many have is cut into tiles
+within a bound of rows, all pairs of which meet. There numpy compares every fingerprint to every other by exclusive or and
+bit count. What is compared at once returns a spanning forest of its links rather than all of them: no more rows than
+fingerprints, and the same components.
 """
 
 from __future__ import annotations
@@ -90,25 +91,16 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the radius inside a, or between a and b, as pairs of a fingerprint and its smallest reachable index's."""
-    every = a if b is None else np.concatenate([a, b])
-    other, shift = (a, 0) if b is None else (b, len(a))
-    label = np.arange(len(every))
-    rows = max(1, (1 << 21) // max(1, len(other)))
-    for i in range(0, len(a), rows):
-        x, y = np.nonzero(np.bitwise_count(a[i : i + rows, None] ^ other[None, :]) <= radius)
-        x += i
-        y += shift
-        keep = x < y if b is None else slice(None)
-        label = local_roots(len(every), x[keep], y[keep], label)
-    linked = np.flatnonzero(label != np.arange(len(every)))
-    return every[linked], every[label[linked]]
+def _blocks(radius: int):
+    """Keys of fingerprints: their radius + 1 blocks of bits. Two that differ in radius bits at most are equal in a block."""
+    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
 
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        fp = b.column("fp").to_numpy().view(np.uint64)
+        each = [(fp >> np.uint64(i) & np.uint64((1 << (j - i)) - 1)) << np.uint64(7) | np.uint64(k % 128) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < 64]
+        return np.tile(np.arange(len(fp)), len(each)), np.concatenate(each).view(np.int64)
 
-def _plain(a: pa.Array, b: pa.Array | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    x, y = _forest(*(None if c is None else c.to_numpy().view(np.uint64) for c in (a, b)), radius)
-    return x.view(np.int64), y.view(np.int64)
+    return keys
 
 
 def _slots(least: float):
@@ -266,51 +258,20 @@ def _link(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
-def _bands(counts: list[int], tile: int) -> list[tuple[int, int, int]]:
-    """Runs of population counts as (first, last, tiles): a run has tile rows at most, or is one count cut into tiles."""
-    out: list[tuple[int, int, int]] = []
-    rows = 0
-    for p, n in enumerate(counts):
-        if out and rows + n <= tile:
-            out[-1], rows = (out[-1][0], p, 1), rows + n
-        else:
-            out.append((p, p, max(1, -(-n // tile))))
-            rows = n
-    return out
-
-
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, forest=None, of: str = "fp") -> DataFrame:
-    """a and b: pairs of distinct fingerprints (column fp, each once) within the radius that join what all such pairs join.
-
-    forest is what compares two tiles, and of the column or struct that it gets of each row. Only the number of
-    fingerprints of each population count (65 at most) reaches the driver.
-    """
-    forest = forest or _plain
-    fps = fps.select("fp", F.col(of).alias("item"), F.bit_count("fp").alias("ones"))
-    n = {r.ones: r.n for r in fps.groupBy("ones").agg(F.count("*").alias("n")).collect()}
-    bands = _bands([n.get(p, 0) for p in range(65)], tile)
-    band_of = [k for k, (low, high, _) in enumerate(bands) for _ in range(low, high + 1)]
-    near = [[k for k, (low, high, _) in enumerate(bands) if low - radius <= band[1] and band[0] <= high + radius] for band in bands]
-    at = lambda values, k: F.get(F.array(*map(F.lit, values)), k)
-    d = fps.withColumn("band", at(band_of, F.col("ones")))
-    d = d.withColumn("own", F.pmod(F.xxhash64("fp"), at([x[2] for x in bands], F.col("band"))).cast("int"))
-    # a tile is one row, so that what goes to every pair of tiles is a block of numbers and not each of them
-    tiles = checkpoint(d.groupBy("band", "own").agg(F.collect_list("item").alias("fps")))
-    left = tiles.withColumn("low", F.col("band")).withColumn("high", at([x[-1] for x in near], F.col("band"))).withColumn("parts", F.array(*(F.lit(x[2]) for x in bands)))
-    left = left.withColumn("x", F.explode(F.expr("flatten(transform(sequence(low, high), q -> transform(sequence(if(q = band, own, 0), parts[q] - 1), j -> named_struct('band', q, 'own', j))))")))
-    left = left.select(F.struct("band", "own").alias("l"), F.col("x").alias("r"), F.col("fps").alias("a"))
-    right = tiles.select(F.struct("band", "own").alias("key"), F.col("fps").alias("b"))
-    pairs = left.join(right, F.col("r") == F.col("key")).select("l", "r", "a", "b").repartition(shuffle_partitions(fps.sparkSession), "l", "r")
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """a and b: pairs of distinct fingerprints (column fp, each once) within the radius that join what all such pairs join."""
+    d = _dealt(fps.select(F.col("fp").alias("node"), "fp"), _blocks(radius), tile)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            for k in range(t.num_rows):
-                a, b = (t.column(c)[k].values for c in ("a", "b"))
-                x, y = forest(a, None if t.column("l")[k].as_py() == t.column("r")[k].as_py() else b, radius)
-                if len(x):
-                    yield pa.RecordBatch.from_pydict({"a": x, "b": y})
-
-    return pairs.mapInArrow(compare, "a long, b long")
+        for t in whole_groups(batches, "key", 1 << 15):
+            ids, of = np.unique(t.column("node").to_numpy(), return_inverse=True)
+            label = np.arange(len(ids))
+            for x, y in _met(t, radius):
+                label = local_roots(len(ids), of[x], of[y], label)
+            if len(linked := np.flatnonzero(label != np.arange(len(ids)))):
+                yield _link(ids[linked], ids[label[linked]])
+
+    return d.mapInArrow(compare, "a long, b long")
 
 
 def proposed(nodes: DataFrame, similarity: float, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:

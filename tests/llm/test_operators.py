@@ -513,6 +513,20 @@ def test_sketches_as_alike_share_a_key(filled):
             assert like >= least - 1e-9 and set(keys[rows == 0]) & set(keys[rows == 1])
 
 
+def test_simhash_meets_few_pairs(spark):
+    """Unlike fingerprints hardly meet, so that the work doesn't grow with the square of their number; all near ones are linked."""
+    r = np.random.default_rng(6)
+    fps = r.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    near = fps[:300].copy()
+    for i in range(300):
+        near[i] ^= np.bitwise_or.reduce(np.uint64(1) << r.permutation(64)[: 1 + i % 5].astype(np.uint64))  # 1 to 5 bits differ
+    both = np.concatenate([fps, near]).view(np.int64)
+    d = spark.createDataFrame([(f,) for f in both.tolist()], "fp long")
+    assert meeting(simhash._dealt(d.select(F.col("fp").alias("node"), "fp"), simhash._blocks(4), 8192)) < 0.01 * len(both) ** 2 / 2
+    want = {tuple(sorted((int(both[i]), int(both[20_000 + i])))) for i in range(300) if i % 5 < 4}
+    assert {tuple(q) for q in simhash.links(d).collect()} == want
+
+
 def test_similar_with_repeats(spark):
     texts = []
     for k in range(8):
