@@ -9,8 +9,10 @@ of text with characters on whose class regex libraries differ go to the library
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -46,12 +48,19 @@ def stretches(text: str) -> Iterator[tuple[bool, str]]:
         yield sure, "".join(held)
 
 
-def _tokenizer(path: str):
+@lru_cache(2)
+def _loaded(path: str, changed: int, size: int):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+def _tokenizer(path: str):
+    """The tokenizer of a file. A process loads a file once, as what the library has cached for a tokenizer stays in memory when that is gone."""
+    at = os.stat(path)
+    return _loaded(path, at.st_mtime_ns, at.st_size)
+
+
 def _plan(tokenizer) -> tuple[bool, list[str]]:
     """Whether pre-tokens add up for this file, and its added tokens, which split a text before all else."""
     import json
@@ -114,7 +123,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                     misses = list({x for x, n in zip(tokens, lengths, strict=True) if n is None})
                     if len(known) > base + cache:
                         known = dict(first.value)
-                    new = {x: len(e.ids) for x, e in zip(misses, t.encode_batch(misses, add_special_tokens=False), strict=True)}
+                    new = {x: whole(x) for x in misses}  # not as a batch, for which the library starts a thread for each of the machine's cores
                     lengths = [new[x] if n is None else n for x, n in zip(tokens, lengths, strict=True)]
                     if len(new) <= cache:
                         known.update(new)

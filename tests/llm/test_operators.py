@@ -210,6 +210,38 @@ def test_token_counts(docs, empty, name, cache):
     assert token_counts.count_tokens(empty, path).collect() == []
 
 
+def test_token_counts_of_many_tasks_in_one_worker(docs, monkeypatch):
+    """Memory stays as it is from task to task: a tokenizer for each had left some MB behind."""
+    import ctypes
+    import gc
+
+    import public_tokenizers
+
+    t = token_counts._tokenizer(path := public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    task, r, held = token_counts.count_tokens(docs, path), random.Random(5), []
+    for _ in range(12):
+        texts = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 12))) for _ in range(2000)) for _ in range(5)]
+        (got,) = task(iter([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"])]))
+        assert got.column("n_tokens").to_pylist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+        gc.collect()
+        ctypes.CDLL(None).malloc_trim(0)
+        with open("/proc/self/statm") as f:
+            held.append(int(f.read().split()[1]) * 4096 / 1e6)
+    assert held[-1] - held[3] < 16
+
+
+def test_tokenizer_of_a_file_that_is_replaced(docs, tmp_path):
+    import shutil
+
+    import public_tokenizers
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        shutil.copy(public_tokenizers.path(name), tmp_path / "t.json")
+        want = token_counts.count_tokens(docs, public_tokenizers.path(name)).collect()
+        assert by_key(token_counts.count_tokens(docs, str(tmp_path / "t.json")).collect()) == by_key(want)
+
+
 def test_pre_tokens_of_all_kinds():
     import public_tokenizers
 
