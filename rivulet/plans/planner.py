@@ -586,7 +586,7 @@ class Planner:
                 out = mine.join(other, same, "left_anti" if empty.get(alias) else "left_semi")
         else:
             kind = {(True, True): "inner", (True, False): "left_outer", (False, True): "right_outer", (False, False): "full_outer"}[must[aliases[0]], must[aliases[1]]]
-            out = left.join(right, same, kind)
+            out = joins.join([(left, lk), (right, rk)], {"left_outer": "left"}.get(kind, kind), null_safe=g.compound)
         outs = []
         for i, (alias, fields, _, item) in enumerate(plans):
             names = parse_schema(item.names) if item.names else None

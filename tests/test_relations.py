@@ -4,11 +4,13 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from rivulet import catalog, explain, monitor
 from rivulet.errors import FlowError
 from rivulet.functions.managed import Function
+from rivulet.operators import joins
 from rivulet.plans.parser import macros
 from rivulet.session import Session, start
 from rivulet.sources import sinks
@@ -308,3 +310,24 @@ def test_rank_over_many_tasks(spark):
         for alias, order in (("r", "k DESC, id"), ("q", "k")):
             want = spark.sql(f"SELECT cast({sql} OVER (ORDER BY {order}) AS bigint) AS r, k, id FROM t")
             assert got.relation(alias).exceptAll(want).count() == 0
+
+
+def test_pairs_of_a_key_are_dealt(spark, monkeypatch):
+    """A key that both sides repeat is joined in several tasks, with the rows of a plain join."""
+    a = spark.sql("SELECT CASE WHEN id < 300 THEN 7 WHEN id < 310 THEN null ELSE id END AS k, id AS x FROM range(330)")
+    b = spark.sql("SELECT CAST(CASE WHEN id < 200 THEN 7 WHEN id < 205 THEN null ELSE id + 110 END AS int) AS k, id % 150 AS y FROM range(220)")
+    a.createOrReplaceTempView("dealt_a")
+    b.createOrReplaceTempView("dealt_b")
+    monkeypatch.setattr(joins, "CELL", 5000)
+    script = "i = JOIN a BY k, b BY k; l = JOIN a BY k LEFT, b BY k; g = COGROUP a BY (k, x - x), b BY (k, y - y); f = FOREACH g GENERATE FLATTEN(a), FLATTEN(b);"
+    s = catalog.session(spark)
+    for name, df in (("a", a), ("b", b)):
+        s.register_frame(name, df)
+    s.load(script)
+    for name, sql in (("i", "JOIN dealt_b b ON a.k = b.k"), ("l", "LEFT JOIN dealt_b b ON a.k = b.k"), ("f", "JOIN dealt_b b ON a.k <=> b.k")):
+        got, want = s.relation(name).toDF("k", "x", "k2", "y"), spark.sql(f"SELECT a.k, x, b.k AS k2, y FROM dealt_a a {sql}")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        sizes = got.where("x < 300").groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 1 and max(r["count"] for r in sizes) < 60_000
+    few = s.load("c = FILTER b BY y < 0L; j = JOIN a BY k, c BY k;").relation("j")
+    assert few.count() == 0 and "__li" not in explain.text(few)
