@@ -1,16 +1,19 @@
 """Operators and sessions: null keys, fused against unfused plans, sinks, streams, and all registered queries against DuckDB."""
 
 import time
+from functools import cmp_to_key
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__
 from rivulet import catalog, explain, monitor
 from rivulet.errors import FlowError
 from rivulet.functions.managed import Function
-from rivulet.operators import joins
+from rivulet.operators import joins, ordering
 from rivulet.plans.parser import macros
 from rivulet.session import Session, start
 from rivulet.sources import sinks
@@ -274,7 +277,7 @@ def test_observed(spark):
 def test_skewed_join(spark, monkeypatch, kind):
     from pyspark.sql import functions as F
 
-    from rivulet.operators import joins
+    from rivulet.operators import joins, ordering
 
     left = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 50).alias("a"), F.col("id").alias("v"))
     right = spark.range(60).select((F.col("id") % 30).alias("b"), F.col("id").alias("w"))
@@ -331,3 +334,29 @@ def test_pairs_of_a_key_are_dealt(spark, monkeypatch):
         assert len(sizes) > 1 and max(r["count"] for r in sizes) < 60_000
     few = s.load("c = FILTER b BY y < 0L; j = JOIN a BY k, c BY k;").relation("j")
     assert few.count() == 0 and "__li" not in explain.text(few)
+
+
+def test_comparison_sorts_by_runs(spark, monkeypatch):
+    """Rows are dealt to several tasks, ties too, and a task sorts runs that it merges: no task holds its rows as Python objects."""
+    df = spark.sql("SELECT CASE WHEN id % 10 = 9 THEN null WHEN id < 4000 THEN 5 ELSE id * 7919 % 613 END AS k, id, named_struct('d', TIMESTAMP'2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id % 3 AS int)), 'm', map('a', id)) AS s FROM range(6000)").repartition(3)
+    s = catalog.session(spark)
+    place = lambda t: (t[0] is None, -(t[0] or 0))
+    s.register_comparator("NullsLast", compare=lambda a, b: (place(a) > place(b)) - (place(a) < place(b)))
+    s.register_frame("t", df)
+    for how in ("", "DESC"):
+        o = s.load(f"o = ORDER t BY k {how} USING NullsLast;").relation("o")
+        rows = o.collect()
+        assert [r.k for r in rows] == [r[0] for r in sorted(((r.k,) for r in df.collect()), key=place, reverse=bool(how))]
+        assert sorted((r.id, r.s.m["a"]) for r in rows) == [(i, i) for i in range(6000)]
+        sizes = [r["count"] for r in o.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 3600 and "MapInArrow" in explain.text(o)  # 3600 rows are 5
+    s.register_comparator("Late", compare=lambda a, b: (b[0].d.day, b[1]) > (a[0].d.day, a[1]) or -1)  # a tuple's fields by their names, as rows have them
+    late = [(r.s.d.day, r.id) for r in s.load("l = ORDER t BY s, id USING Late;").relation("l").collect()]
+    assert late == sorted(late, reverse=True) and len(late) == 6000
+    assert s.load("e = FILTER t BY id < 0L; f = ORDER e BY k USING NullsLast;").relation("f").count() == 0
+
+    monkeypatch.setattr(ordering, "RUN", 700)
+    values = [i * 7919 % 5003 for i in range(5003)]
+    batches = pa.Table.from_pydict({"__0": values, "v": [str(v) for v in values]}).to_batches(1000)
+    got = pa.Table.from_batches(ordering._sorted(iter(batches), T.StructType().add("__0", "long"), cmp_to_key(lambda a, b: b[0] - a[0])))
+    assert got["v"].to_pylist() == [str(v) for v in sorted(values, reverse=True)]
