@@ -516,7 +516,7 @@ class Planner:
         block = a.get("block") or [Step("generate", None, {"items": a["items"]})]
         if of.frame is None and of.grouped and self.fuse:
             g = of.grouped
-            for plan in (self._flattened, self._joined, self._ranked, self._fused if len(g.inputs) == 1 else self._fused_sides):
+            for plan in (self._flattened, self._joined, self._ranked, self._unbagged, self._fused if len(g.inputs) == 1 else self._fused_sides):
                 try:
                     return Relation(_tasks(plan(g, block), g.parallel))
                 except _NotFused:
@@ -670,6 +670,53 @@ class Planner:
                 outs += self._group_fields(item, kind, F.col("__group"))
         return d.select(*self._unique(outs))
 
+    def _unbagged(self, g: Grouped, block: list[Step]) -> DataFrame:
+        """GROUP and FLATTEN of its bag, or of what FILTER, projections and DISTINCT leave of it: the rows themselves with their group, each once a group for DISTINCT."""
+        alias, df, _, _ = g.inputs[0]
+        items = block[-1].args["items"]
+        mine = [x for x in items if not (isinstance(x.expr, Name) and x.expr.name in ("group", 0))]
+        if len(g.inputs) > 1 or g.how or g.having or df.isStreaming or len(mine) != 1 or not mine[0].flatten:
+            raise _NotFused
+        key, names = "__group", df.columns
+        if key in names or len(set(names)) != len(names):
+            raise _NotFused
+        base = df.select(g.key(0).alias(key), *(col(c) for c in names))
+        bags = {alias: base, 1: base}
+
+        def rows(node: Node) -> DataFrame:
+            if isinstance(node, Name) and node.name in bags:
+                return bags[node.name]
+            if isinstance(node, Deref) and all(isinstance(f, Name) for f in node.fields):
+                d = rows(node.of)
+                fields = [self._field_of(T.StructType(d.schema.fields[1:]), f).name for f in node.fields]
+                if len(set(fields)) == len(fields):
+                    return d.select(key, *(col(f) for f in fields))
+            raise _NotFused
+
+        for s in block[:-1]:
+            d = rows(s.args["expr"] if s.verb == "assign" else s.args.get("of"))
+            if s.verb == "filter":
+                try:
+                    d = d.where(compile(s.args["by"], self.scope(d.drop(key))))
+                except FlowError:
+                    raise _NotFused from None  # of more than the bag's rows
+            elif s.verb == "distinct":
+                if "map<" in d.schema.simpleString():
+                    raise _NotFused
+                d = d.distinct()
+            elif s.verb != "assign":
+                raise _NotFused
+            bags[s.alias] = d
+        d = rows(mine[0].expr)
+        outs = []
+        for i, item in enumerate(items):
+            if item is mine[0]:
+                names = parse_schema(item.names) if item.names else None
+                outs += self._named(d.schema.fields[1:], lambda f: col(f.name), names, self._name(item.expr, i))
+            else:
+                outs += self._group_fields(item, d.schema[key].dataType, F.col(key))
+        return d.select(*self._unique(outs))
+
     def _bag_step(self, s: Step, scope: _GroupScope) -> bool:
         """A step of a block over the scope's bag, as conditions on its rows; whether it is over that bag."""
         of = s.args["expr"] if s.verb == "assign" else s.args.get("of")

@@ -360,3 +360,23 @@ def test_comparison_sorts_by_runs(spark, monkeypatch):
     batches = pa.Table.from_pydict({"__0": values, "v": [str(v) for v in values]}).to_batches(1000)
     got = pa.Table.from_batches(ordering._sorted(iter(batches), T.StructType().add("__0", "long"), cmp_to_key(lambda a, b: b[0] - a[0])))
     assert got["v"].to_pylist() == [str(v) for v in sorted(values, reverse=True)]
+
+
+FLATTENED = {
+    "nested_distinct": (catalog.SCRIPTS["nested_distinct"][0], "lineitem"),
+    "flatten": ("g = GROUP lineitem BY (l_returnflag, l_linestatus); out = FOREACH g GENERATE FLATTEN(lineitem.(l_linenumber, l_tax)) AS (n:long, t), FLATTEN(group);", "lineitem"),
+    "filter": ("g = GROUP customer BY c_nationkey; out = FOREACH g { f = FILTER customer BY c_acctbal > 0; p = f.(c_mktsegment, c_custkey); q = p.c_mktsegment; d = DISTINCT q; GENERATE group, FLATTEN(d) AS m; };", "customer"),
+    "after": ("g = GROUP t ALL; out = FOREACH g { d = DISTINCT t; GENERATE FLATTEN(d.v); };", None),
+    "nulls": ("g = GROUP t BY k; out = FOREACH g { d = DISTINCT t; GENERATE group, FLATTEN(d); };", None),
+    "empty": ("e = FILTER t BY v == 'z'; g = GROUP e BY k; out = FOREACH g { d = DISTINCT e; GENERATE group, FLATTEN(d); };", None),
+}
+
+
+@pytest.mark.parametrize("name", FLATTENED)
+def test_flattened_bags_are_not_built(spark, sf, name):
+    script, table = FLATTENED[name]
+    script = catalog.prepared(script) if table else "t = TAP 'pairs' USING ConstantTuples() AS (k:int, v:chararray); " + script
+    fused, plain = (catalog.session(spark, fuse=f).load(script, {"sf": sf}).relation("out") for f in (True, False))
+    assert fused.schema.simpleString() == plain.schema.simpleString()
+    assert canonical(fused.columns, fused.collect()) == canonical(plain.columns, plain.collect())
+    assert "collect_list" not in explain.text(fused) and "collect_list" in explain.text(plain)
