@@ -380,3 +380,12 @@ def test_flattened_bags_are_not_built(spark, sf, name):
     assert fused.schema.simpleString() == plain.schema.simpleString()
     assert canonical(fused.columns, fused.collect()) == canonical(plain.columns, plain.collect())
     assert "collect_list" not in explain.text(fused) and "collect_list" in explain.text(plain)
+
+
+def test_accumulated_squares_need_no_bag(spark, sf):
+    """A registered fold of a group is combined before the shuffle, and has a form for bags; nulls count in neither."""
+    script = "t = TAP 'pairs' USING ConstantTuples() AS (k:int, v:chararray); g = GROUP t BY v; out = FOREACH g GENERATE group AS v, SumSquares(t.k) AS s;"
+    for fuse in (True, False):
+        out = catalog.session(spark, fuse=fuse).load(script).relation("out")
+        assert sorted(map(tuple, out.collect())) == [("a", 5), ("b", 2), ("c", None)] and ("collect_list" in explain.text(out)) != fuse
+    assert "collect_list" not in explain.text(catalog.queries()["udaf_accumulator"](spark, sf))
