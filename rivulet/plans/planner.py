@@ -167,6 +167,13 @@ class _GroupScope(Scope):
             raise _NotFused
         return replace(of, distinct=True)
 
+    def apart(self, node: Call) -> bool:
+        """Whether an aggregate holds more of a group than a number or two."""
+        return node.name in self.functions or node.name.upper() == "APPROX_COUNT_DISTINCT"
+
+    def deduplicates(self, node: Call) -> bool:
+        return any(self._values(x).distinct for x in node.args)
+
     def column(self, node: Node) -> Column:
         if isinstance(node, Call) and isinstance(self.functions.get(node.name), Aggregate) and len(node.args) == 1:
             v = self._values(node.args[0])
@@ -229,6 +236,20 @@ def _replace(node: Node, scope: _GroupScope) -> Node:
     return rewrite(node, change)
 
 
+def _aggregated(df: DataFrame, group: str, wanted: dict[str, Column], calls: dict[str, Call], scope: _GroupScope) -> DataFrame:
+    """The groups of df (a column), and the aggregates of them.
+
+    Spark keeps the other aggregates of a group beside each value that a distinct one has seen, so those that hold sketches
+    or values are made by themselves there, and joined.
+    """
+    apart = [] if df.isStreaming or not any(map(scope.deduplicates, calls.values())) else [k for k, n in calls.items() if scope.apart(n)]
+    out = df.groupBy(group).agg(*(c.alias(k) for k, c in wanted.items() if k not in apart))
+    if not apart:
+        return out
+    more = df.groupBy(F.col(group).alias("__same")).agg(*(wanted[k].alias(k) for k in apart))
+    return out.join(more, F.col(group).eqNullSafe(F.col("__same"))).drop("__same")
+
+
 def _root(node: Node) -> object:
     """The name that a bag's projections begin with."""
     while isinstance(node, Deref):
@@ -752,18 +773,35 @@ class Planner:
         for s in block[:-1]:
             if not self._bag_step(s, scope):
                 raise _NotFused
+        calls: dict[str, Call] = {}
+
+        def change(n: Node) -> Node | None:
+            if _aggregates(n, scope.functions) or _of_bag(n, scope):
+                calls[f"__a{len(calls)}"] = n
+                return Name(f"__a{len(calls) - 1}")
+            return None
+
+        items = block[-1].args["items"]
+        changed = [replace(item, expr=rewrite(item.expr, change)) for item in items]
+        if not g.how and not df.isStreaming and any(map(scope.apart, calls.values())) and any(map(scope.deduplicates, calls.values())):
+            d = _aggregated(df, "group", {k: scope.column(n) for k, n in calls.items()}, calls, scope)
+            over, key, items = self.scope(d), F.col("group"), changed
+        else:
+            d = over = None
         outs: list[tuple[Column, str]] = []
-        for i, item in enumerate(block[-1].args["items"]):
+        for i, item in enumerate(items):
             names = parse_schema(item.names) if item.names else None
             if isinstance(item.expr, Name) and item.expr.name in ("group", 0):
                 outs += [(c, n) for c, n, _ in self._group_fields(item, kind, key)]
                 continue
             if item.flatten:
                 raise _NotFused
-            c = scope.column(item.expr)
+            c = compile(item.expr, over) if over else scope.column(item.expr)
             if names and not names[0].metadata.get("untyped"):
-                c = cast(c, scope._analyzed(item.expr), names[0].dataType)
-            outs.append((c, names[0].name if names else self._name(item.expr, i)))
+                c = cast(c, over.type(item.expr) if over else scope._analyzed(item.expr), names[0].dataType)
+            outs.append((c, names[0].name if names else self._name(block[-1].args["items"][i].expr, i)))
+        if over:
+            return d.select(*(c.alias(n) for c, n in outs))
         out = groups_of.agg(*(c.alias(f"__{k}") for k, (c, _) in enumerate(outs)))
         return out.select(*(F.col(f"__{k}").alias(n) for k, (_, n) in enumerate(outs)))
 
@@ -782,6 +820,7 @@ class Planner:
                 raise _NotFused
         wanted: list[dict[str, Column]] = [{f"__n{k}": F.count(F.lit(1))} for k in range(len(scopes))]
         zero: dict[str, Column] = {}
+        calls: list[dict[str, Call]] = [{} for _ in scopes]
 
         def change(n: Node) -> Node | None:
             for k, scope in enumerate(scopes):
@@ -789,7 +828,7 @@ class Planner:
                     if any(_root(a) not in (scope.alias, scope.place, *scope.bags) for a in n.args):
                         continue
                     name = f"__{k}a{len(wanted[k])}"
-                    wanted[k][name] = scope.column(n)
+                    wanted[k][name], calls[k][name] = scope.column(n), n
                     if n.name.upper() in ("COUNT", "COUNT_STAR", "SIZE", "APPROX_COUNT_DISTINCT") and n.name not in scope.functions:
                         zero[name] = F.lit(0).cast("long")
                     if n.name.upper() == "ISEMPTY":
@@ -802,7 +841,7 @@ class Planner:
             raise _NotFused  # a bag itself
         if any(isinstance(n, Deref) and isinstance(n.of, Name) and n.of.name in self.relations for _, e in items for n in walk(e)):
             raise _NotFused
-        sides = [(d.groupBy(F.col("group").alias(f"__g{k}")).agg(*(c.alias(n) for n, c in wanted[k].items())), F.col(f"__g{k}")) for k, d in enumerate(frames)]
+        sides = [(_aggregated(d.withColumn(f"__g{k}", F.col("group")), f"__g{k}", wanted[k], calls[k], scopes[k]), F.col(f"__g{k}")) for k, d in enumerate(frames)]
         out, group = sides[0]
         for d, key in sides[1:]:
             out, group = out.join(d, joins.equal([group], [key], null_safe=g.compound), "full_outer"), F.coalesce(group, key)

@@ -389,3 +389,17 @@ def test_accumulated_squares_need_no_bag(spark, sf):
         out = catalog.session(spark, fuse=fuse).load(script).relation("out")
         assert sorted(map(tuple, out.collect())) == [("a", 5), ("b", 2), ("c", None)] and ("collect_list" in explain.text(out)) != fuse
     assert "collect_list" not in explain.text(catalog.queries()["udaf_accumulator"](spark, sf))
+
+
+def test_sketches_are_apart_from_distinct_values(spark, sf):
+    """Spark would keep a sketch beside each distinct value of a group: aggregates that hold more than a number are made by themselves."""
+    block = "{ d = DISTINCT t.k; GENERATE FLATTEN(group) AS (v, e), COUNT(d) AS n, APPROX_COUNT_DISTINCT(t.k) - COUNT(d) AS z, (double)Middle(t.k) AS m, COUNT_STAR(t) AS s; }"
+    script = f"t = TAP 'pairs' USING ConstantTuples() AS (k:int, v:chararray); u = FOREACH t GENERATE k, (k IS NULL ? null : v) AS v; g = GROUP u BY (v, v); out = FOREACH g {block};".replace("t.k", "u.k").replace("COUNT_STAR(t)", "COUNT_STAR(u)")
+    out = catalog.session(spark).load(script).relation("out")
+    assert sorted(map(tuple, out.collect()), key=str) == [("a", "a", 2, 0, 1.5, 2), ("b", "b", 1, 0, 1.0, 2), (None, None, 0, 0, None, 2)]
+    sides = "t = TAP 'pairs' USING ConstantTuples() AS (k:int, v:chararray); l = FOREACH t GENERATE *; g = COGROUP t BY v, l BY v; x = FOREACH g { s = t.k; d = DISTINCT s; GENERATE group AS v, COUNT(d) AS n, APPROX_COUNT_DISTINCT(t.k) AS a, COUNT(l) AS c; };"
+    both = catalog.session(spark).load(sides).relation("x")
+    assert sorted(map(tuple, both.collect()), key=str) == [("a", 2, 2, 2), ("b", 1, 1, 2), ("c", 0, 0, 0)]
+    for df in (out, both, catalog.queries()["approx_distinct"](spark, sf)):
+        nodes = [x for x in explain.text(df).splitlines() if "partial_approx_count_distinct" in x or "merge_approx_count_distinct" in x]
+        assert nodes and not any("count(" in x or "merge_approx" in x for x in nodes)  # beside a distinct count sketches are merged
